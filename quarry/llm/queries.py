@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import decontaminate, mixing, repair_tokens, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": warc.query,
         "op4_mixing": mixing.query,
+        "op7_decontaminate": decontaminate.query,
+        "op8_simhash": simhash.query,
+        "op10_tokens": repair_tokens.query,
     }
 
 
