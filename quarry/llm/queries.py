@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, repair_tokens, simhash, warc
+from . import decontaminate, mixing, repair_tokens, simhash, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.query,
         "op7_decontaminate": decontaminate.query,
         "op8_simhash": simhash.query,
+        "op9_topk": topk.query,
         "op10_tokens": repair_tokens.query,
     }
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": warc.ORACLE,
         "op4_mixing": mixing.ORACLE,
+        "op9_topk": topk.ORACLE,
     }
