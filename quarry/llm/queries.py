@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, repair_tokens, simhash, topk, warc
+from . import decontaminate, mixing, repair_tokens, repeats, simhash, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": warc.query,
         "op4_mixing": mixing.query,
+        "op6_repeats": repeats.query,
         "op7_decontaminate": decontaminate.query,
         "op8_simhash": simhash.query,
         "op9_topk": topk.query,
