@@ -1,4 +1,55 @@
-"""The corpus pipeline; filled in below as its operators land."""
+"""The corpus pipeline: toxicity, near duplicates, contamination, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All but the last return
+the columns of docs.  Stages neither look at ids outside their own docs nor
+keep anything that an earlier one has dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import decontaminate, mixing, repair_tokens, simhash, toxicity
+from quarry.llm.common import shared_dir, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the compression classifier scores as toxic."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each SimHash group."""
+    return simhash.deduplicate(docs)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which the benchmark's windows cover a twentieth of the words or more."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and samples documents until their sources come out at their targets."""
+    return mixing.repeated(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the shards of token ids; returns what reading them back says of every document."""
+    return repair_tokens.encode_corpus(docs)
+
+
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("contamination", contaminated), ("mixing", mixed), ("tokens", tokens)]
+
+#: Classifier scores, XXH64 fingerprints and BPE ids can't be expressed in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
