@@ -1,11 +1,443 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries and their SQL oracles.
+
+Queries run over the corpus `docs`, made of the table documents (text format,
+one block per document), and over queries made of the first eight units of
+every benchmark passage.  The SQL is written independently of the Column
+expressions, in DuckDB's dialect.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.config import SearchLimits
+from quarry.functions import policy as P
+from quarry.functions import text as T
+from quarry.operators import chunking, evaluate, index, ingest, search
+
+QUERY_UNITS = 8
+SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, format, text: the table documents under stable identifiers."""
+    name = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
+    return _table(spark, sf_dir, "documents").select(name.alias("id"), F.lit("text").alias("format"), "text")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit(".html")).alias("id"), F.lit("html").alias("format"), F.col("html").alias("text"))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown: a heading for each turn."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    body = F.array_join(F.transform(turns, lambda t: F.concat(F.lit("## "), F.coalesce(t.role, F.lit("?")), F.lit("\n\n"), F.coalesce(t.text, F.lit("")))), "\n\n")
+    each = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("body"))
+    return each.select(F.concat(F.lit("chats/"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit(".md")).alias("id"), F.lit("markdown").alias("format"), F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), "body").alias("text"))
+
+
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.positions(chunking.chunk_corpus(ingest.distinct_texts(documents(spark, sf_dir))))
+
+
+def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: the first units of every benchmark passage."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(T.units(F.col("text")), 1, QUERY_UNITS), " ").alias("query"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build(corpus_chunks(spark, sf_dir))
+
+
+def _scored(spark, sf_dir, **how) -> DataFrame:
+    prefix = how.pop("prefix", None)
+    return search.score(workload(spark, sf_dir), _index(spark, sf_dir), SearchLimits(**how), prefix)
+
+
+def _ranked(df: DataFrame, k: int = 5) -> DataFrame:
+    return df.filter(F.col("rank") <= k).select("query_id", "rank", "id", "source", F.round("score", 6).alias("score"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(_scored(spark, sf_dir))
+
+
+# ---- queries
+
+
+def q_tokenize_units(s, d):
+    return documents(s, d).select("id", F.explode(T.units(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+
+
+def q_tokenize_terms(s, d):
+    units = q_tokenize_units(s, d)
+    return units.select("n", F.explode(T.unit_terms(F.col("unit"))).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def q_identifier_split(s, d):
+    names = _table(s, d, "pages").select("url").union(_table(s, d, "part").select("p_type")).union(_table(s, d, "events").select("props"))
+    segment = names.select(F.explode(T.units(F.col("url"))).alias("u")).select(F.explode(T.segments(F.col("u"))).alias("segment")).distinct()
+    return segment.select("segment", F.array_join(T.identifier_parts(F.col("segment")), " ").alias("parts"))
+
+
+def q_suffix_stem(s, d):
+    return q_tokenize_units(s, d).select(F.lower("unit").alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
+
+
+def q_compound_terms(s, d):
+    return q_tokenize_terms(s, d).groupBy(T.is_compound(F.col("term")).alias("compound")).agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+
+
+def q_stopword_filter(s, d):
+    return search.query_terms(workload(s, d)).groupBy("query_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("weight"))
+
+
+def _paths(s, d):
+    """Paths of all shapes, made of page urls."""
+    tail = F.array("page_id", "page_id")
+    kinds = ["a/Read.Me.MD", "node_modules/x.js", ".git/config", "src/my.secret.txt", "x/credentials", "keys/id_rsa", "a/b.PEM", "./ok.py", "a//b.md", "../up.md", "/abs.md", "C:\\x.md", "a\\b.Html", "x/.env.local", "noext", ".hidden", "dist/a.md", "a/./b.md", "ok/file.tar.gz", "Build/x.go"]
+    shapes = F.array(*map(F.lit, kinds))
+    rows = _table(s, d, "pages").select("page_id", F.explode(shapes).alias("shape"), tail.alias("t"))
+    return rows.select(F.concat(F.when(F.col("shape").rlike("^[.]{0,2}/|^C:"), F.lit("")).otherwise(F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string"), F.lit("/"))), "shape").alias("path")).distinct()
+
+
+_PATHS_SQL = """SELECT DISTINCT CASE WHEN regexp_matches(shape, '^[.]{0,2}/|^C:') THEN '' ELSE 'p' || (page_id % 7)::VARCHAR || '/' END || shape AS path
+  FROM pages, (SELECT unnest(['a/Read.Me.MD','node_modules/x.js','.git/config','src/my.secret.txt','x/credentials','keys/id_rsa','a/b.PEM','./ok.py','a//b.md','../up.md','/abs.md','C:\\x.md','a\\b.Html','x/.env.local','noext','.hidden','dist/a.md','a/./b.md','ok/file.tar.gz','Build/x.go']) AS shape)"""
+
+
+def q_policy_format(s, d):
+    ext = P.extension(F.col("path"))
+    return _paths(s, d).select("path", ext.alias("extension"), P.format_of(ext).alias("format"))
+
+
+def q_policy_ignore(s, d):
+    return _paths(s, d).select("path", P.ignored(F.col("path")).alias("ignored"))
+
+
+def q_identifier_normalize(s, d):
+    return _paths(s, d).select("path", P.normalized(F.col("path")).alias("identifier"))
+
+
+def q_binary_sniff(s, d):
+    """Texts, and the same with control characters strewn in."""
+    docs = documents(s, d).select("id", "text")
+    odd = docs.select(F.concat("id", F.lit("#odd")).alias("id"), F.replace("text", F.lit("th"), F.lit("\x02")).alias("text"))
+    return docs.unionByName(odd).select("id", P.looks_binary(F.col("text")).alias("binary"))
+
+
+def q_ingest_max_documents(s, d):
+    return ingest.first_documents(documents(s, d).select("id"), 100)
+
+
+def q_ingest_dedupe(s, d):
+    return ingest.distinct_texts(documents(s, d)).select("id")
+
+
+def q_ingest_byte_budget(s, d):
+    return ingest.within_bytes(documents(s, d), 400_000).select("id", "before", "kept_bytes", "truncated")
+
+
+def q_ingest_chunk_budget(s, d):
+    return ingest.within_chunks(corpus_chunks(s, d), 150).select("chunk_pos", "id")
+
+
+def q_ingest_memory_budget(s, d):
+    return ingest.within_memory(corpus_chunks(s, d), 500_000).select("chunk_pos", "estimate")
+
+
+def q_ingest_report(s, d):
+    docs = ingest.distinct_texts(documents(s, d))
+    return ingest.report(docs, chunking.chunk_corpus(docs))
+
+
+def q_skip_tally(s, d):
+    return ingest.skip_tally(documents(s, d), 20_000)
+
+
+def q_chunk_text(s, d):
+    return chunking.chunk_corpus(documents(s, d)).select("source", "ord", "id", F.length("content").cast("long").alias("chars"))
+
+
+def q_chunk_positions(s, d):
+    return corpus_chunks(s, d).select("chunk_pos", "source", "ord")
+
+
+def q_chunk_html(s, d):
+    return chunking.chunk_corpus(pages(s, d)).select("source", "ord", "id", "start_line", "end_line", T.last_section(F.col("section_path")).alias("section"), F.length("content").alias("chars"))
+
+
+def q_chunk_markdown(s, d):
+    return chunking.chunk_corpus(chats(s, d)).select("source", "ord", "id", "start_line", "end_line", T.last_section(F.col("section_path")).alias("section"), F.length("content").alias("chars"))
+
+
+def q_term_freq_weighted(s, d):
+    return index.term_frequencies(corpus_chunks(s, d))
+
+
+def q_document_frequency(s, d):
+    return index.document_frequency(index.term_frequencies(corpus_chunks(s, d)))
+
+
+def q_chunk_length(s, d):
+    chunks = corpus_chunks(s, d)
+    return index.lengths(chunks, index.term_frequencies(chunks))
+
+
+def q_avg_length(s, d):
+    return q_chunk_length(s, d).agg(F.avg("length").alias("average"), F.count("*").alias("chunks"))
+
+
+def q_tfidf_norms(s, d):
+    return _index(s, d).stats.select("chunk_pos", F.round("norm", 6).alias("norm"))
+
+
+def q_vocabulary_cap(s, d):
+    return index.capped_vocabulary(corpus_chunks(s, d), 2_000)
+
+
+def q_vocabulary_top(s, d):
+    return index.top_terms(_index(s, d), 50)
+
+
+def q_index_stats(s, d):
+    return index.stats_row(_index(s, d))
+
+
+def q_query_terms(s, d):
+    return search.query_terms(workload(s, d)).select("query_id", "term", "weight")
+
+
+def q_selectivity_gate(s, d):
+    return search.selected_terms(workload(s, d), _index(s, d)).select("query_id", "term", "df", "term_rank")
+
+
+def q_postings_join(s, d):
+    ix = _index(s, d)
+    hits = ix.postings.join(search.selected_terms(workload(s, d), ix), "term")
+    return hits.groupBy("query_id").agg(F.countDistinct("chunk_pos").alias("chunks"), F.count("*").alias("postings"), F.sum("tf").alias("tf"))
+
+
+def q_candidate_cap(s, d):
+    return _scored(s, d, max_candidates=20).select("query_id", "chunk_pos")
+
+
+def q_bm25_topk(s, d):
+    return _ranked(_scored(s, d))
+
+
+def q_tfidf_topk(s, d):
+    return _ranked(_scored(s, d, algorithm="tfidf"))
+
+
+def q_prefix_search(s, d):
+    return _ranked(_scored(s, d, prefix="docs/src1"))
+
+
+def q_phrase_boost(s, d):
+    """Whole passages as queries' phrases: which chunks hold one."""
+    chunks = corpus_chunks(s, d)
+    phrases = workload(s, d)
+    ix = index.build(chunks)
+    scored = search.score(phrases, ix).join(phrases, "query_id")
+    return scored.filter(F.contains(F.lower("content"), F.lower("query"))).select("query_id", "chunk_pos", F.round("score", 6).alias("score"))
+
+
+def q_evidence_threshold(s, d):
+    out = search.evidence(_scored(s, d), workload(s, d))
+    return out.select("query_id", "candidates", F.round("best", 6).alias("best"), "status")
+
+
+def q_relative_cutoff(s, d):
+    scored = _scored(s, d)
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return scored.withColumn("best", best).filter((F.col("score") >= 0.2) & (F.col("score") >= F.col("best") * 0.2)).groupBy("query_id").agg(F.count("*").alias("kept"))
+
+
+def q_content_clip(s, d):
+    limits = SearchLimits(max_content_chars=500)
+    return search.clipped(corpus_chunks(s, d).select("chunk_pos", "content"), limits).select("chunk_pos", "truncated", F.md5("content").alias("content_md5"))
+
+
+def q_fingerprint(s, d):
+    return corpus_chunks(s, d).select("chunk_pos", T.fingerprint(F.col("content")).alias("fingerprint"))
+
+
+def q_select_results(s, d):
+    return search.select_results(_scored(s, d)).select("query_id", "rank", "id", "score", "truncated", F.length("content").cast("long").alias("chars"))
+
+
+def q_response_counts(s, d):
+    chosen = search.select_results(_scored(s, d))
+    return chosen.groupBy("query_id").agg(F.count("*").alias("returned"), F.sum(F.length("content")).alias("content_characters"), T.approximate_tokens(F.sum(F.length("content"))).alias("approximate_tokens"))
+
+
+def _relevant(s, d):
+    """Documents that hold a benchmark passage verbatim; passages are a bounded, broadcast query set."""
+    bench = _table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"))
+    return documents(s, d).select("id", "text").join(search._bounded(bench, 100_000), F.contains("text", F.col("passage"))).select("query_id", F.col("id").alias("source"))
+
+
+def q_eval_hit_mrr_ndcg(s, d):
+    queries = workload(s, d)
+    ranked = _scored(s, d).filter("rank <= 5")
+    out = evaluate.evaluate(ranked, _relevant(s, d), queries)
+    return out.select("query_id", "hit", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), F.round("unique_sources", 6).alias("unique_sources"), "false_positive")
+
+
+def q_threshold_sweep(s, d):
+    """Both algorithms at seven thresholds: queries that are answered."""
+    ix, queries = _index(s, d), workload(s, d)
+    out = None
+    for algorithm in ("bm25", "tfidf"):
+        best = search.evidence(search.score(queries, ix, SearchLimits(algorithm)), queries)
+        each = best.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)))))
+        rows = each.groupBy("threshold").agg(F.sum((F.col("best") >= F.col("threshold")).cast("int")).alias("answered")).withColumn("algorithm", F.lit(algorithm))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_manifest_diff(s, d):
+    """Two derived snapshots: what was added, removed and changed."""
+    docs = documents(s, d).withColumn("n", F.substring("id", -12, 8).cast("long"))
+    revision = F.substring(F.sha2("text", 256), 1, 16)
+    old = docs.filter("n % 10 <> 1").select("id", revision.alias("old"))
+    new = docs.filter("n % 10 <> 2").select("id", F.when(F.col("n") % 10 == 3, F.concat(F.lit("x"), revision)).otherwise(revision).alias("new"))
+    from quarry.streaming.lifecycle import manifest_diff
+
+    return manifest_diff(old, new)
+
+
+# ---- oracles
+
+_D = "'docs/' || coalesce(source, 'none') || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt'"
+_UNIT = r"[\p{L}\p{N}_]+(?:[./-]+[\p{L}\p{N}_]+)*"
+_STEM = r"""CASE WHEN length({0}) >= 4 AND NOT regexp_matches({0}, '[0-9]') THEN
+  nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^(.{{2,}})ies$', '\1y'), '^(.*[^s])s$', '\1'), '^(.{{3,}})(?:ing|ed)$', '\1'), '^(.{{4,}})e$', '\1'), {0}) END"""
+
+
+def _stem(x: str) -> str:
+    return f"(CASE WHEN length({_STEM.format(x)}) >= 3 THEN {_STEM.format(x)} END)"
+
+
+_PARTS = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')), '[_\s]+'), lambda p: p <> '')"""
+
+
+def _unit_terms(source: str) -> str:
+    """SQL: source(key..., unit, w) -> (key..., term, w), by a union of the three kinds of term."""
+    return f"""
+  seg AS (SELECT * EXCLUDE (segs), unnest(segs) AS seg, len(segs) AS n_seg FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source})),
+  words AS (SELECT * EXCLUDE (seg, n_seg), lower(seg) AS word, {_PARTS.format("seg")} AS parts FROM seg),
+  each_word AS (SELECT * EXCLUDE (word, parts), word FROM words UNION ALL SELECT * EXCLUDE (word, parts, own, p), p AS word FROM (SELECT *, word AS own, unnest(CASE WHEN len(parts) > 1 THEN parts ELSE [] END) AS p FROM words) WHERE p <> own),
+  terms AS (SELECT * EXCLUDE (segs), lower(unit) AS term FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source}) WHERE len(segs) > 1
+            UNION ALL SELECT * EXCLUDE (word), word AS term FROM each_word
+            UNION ALL SELECT * FROM (SELECT * EXCLUDE (word), {_stem("word")} AS term FROM each_word) WHERE term IS NOT NULL)"""
+
+
+_DOCS = f"docs AS (SELECT {_D} AS id, text, doc_id FROM documents)"
+_CHUNKS = f"""{_DOCS},
+  kept AS (SELECT id, trim(text, {SPACE_SQL}) AS t FROM docs WHERE trim(text, {SPACE_SQL}) <> '' QUALIFY row_number() OVER (PARTITION BY text ORDER BY id) = 1),
+  cut AS (SELECT id AS source, i AS ord, trim(substr(t, 1600 * i + 1, 1600), {SPACE_SQL}) AS content FROM kept, LATERAL (SELECT unnest(range(0, (length(t) + 1599) // 1600)) AS i)),
+  numbered AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY ord) - 1)::INTEGER AS o FROM cut WHERE content <> ''),
+  chunks AS (SELECT (row_number() OVER (ORDER BY source, o) - 1)::BIGINT AS chunk_pos, source, o AS ord, content, substr(sha256(source || ':1:' || content), 1, 16) AS id FROM numbered)"""
+_TF = f"""{_CHUNKS},
+  u AS (SELECT chunk_pos, unnest(regexp_extract_all(content, '{_UNIT}')) AS unit, 1.0::DOUBLE AS w FROM chunks
+        UNION ALL SELECT chunk_pos, unnest(regexp_extract_all(replace(source, '/', ' '), '{_UNIT}')), 1.5::DOUBLE FROM chunks),
+  counted AS (SELECT chunk_pos, unit, sum(w) AS w FROM u GROUP BY ALL),{_unit_terms("counted")},
+  tf AS (SELECT chunk_pos, term, sum(w) AS tf FROM terms GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  len AS (SELECT chunk_pos, coalesce(sum(tf), 0) AS length FROM chunks LEFT JOIN tf USING (chunk_pos) GROUP BY chunk_pos),
+  one AS (SELECT count(*) AS n, avg(length) AS average FROM len),
+  norms AS (SELECT chunk_pos, sqrt(sum(pow(tf * (ln((n + 1.0) / (df + 1.0)) + 1.0), 2))) AS norm FROM tf JOIN df USING (term), one GROUP BY chunk_pos)"""
+_WORK = f"work AS (SELECT item_id::VARCHAR AS query_id, array_to_string(regexp_extract_all(text, '{_UNIT}')[1:{QUERY_UNITS}], ' ') AS query FROM benchmark)"
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _query_terms_sql() -> str:
+    """Terms with their place: units are numbered, terms of a unit keep an order of their own."""
+    inner = _unit_terms("qu")
+    for name in ("seg", "words", "each_word", "terms"):
+        inner = inner.replace(f" {name} AS (", f" q_{name} AS (").replace(f"FROM {name})", f"FROM q_{name})").replace(f"FROM {name} ", f"FROM q_{name} ").replace(f"FROM {name}\n", f"FROM q_{name}\n")
+    return f"""{_WORK},
+  qu AS (SELECT query_id, unnest(us) AS unit, generate_subscripts(us, 1) AS at FROM (SELECT query_id, regexp_extract_all(query, '{_UNIT}') AS us FROM work)),{inner},
+  qt AS (SELECT query_id, term, sum(CASE WHEN regexp_matches(term, '[./-]+') THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, min(at) AS ord FROM q_terms WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
+
+
+_SELECTED = f"""{_TF}, {_query_terms_sql()},
+  known AS (SELECT qt.*, coalesce(df, 0) AS df, n FROM qt LEFT JOIN df USING (term), one),
+  able AS (SELECT *, max((df > 0 AND df / n <= 0.4)::INT) OVER (PARTITION BY query_id) AS ok FROM known),
+  sel AS (SELECT * FROM able WHERE (n < 10 OR ok = 1 AND df / n <= 0.6) AND df > 0)"""
+
+
+def _scored_sql(algorithm: str = "bm25", prefix: str | None = None) -> str:
+    idf = "ln(1 + (n - df + 0.5) / (df + 0.5))" if algorithm == "bm25" else "ln((n + 1.0) / (df + 1.0)) + 1.0"
+    gain = "weight * idf * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average)))" if algorithm == "bm25" else "weight * idf * tf * idf"
+    scale = "sum(weight * idf * 2.2)" if algorithm == "bm25" else "sqrt(sum(pow(weight * idf, 2)))"
+    norm = "1.0" if algorithm == "bm25" else "norm"
+    where = f"WHERE starts_with(source, '{prefix}')" if prefix else ""
+    return f"""{_SELECTED},
+  st AS (SELECT *, {idf} AS idf FROM sel),
+  sc AS (SELECT query_id, {scale} AS scale FROM st GROUP BY query_id),
+  raw AS (SELECT query_id, chunk_pos, sum({gain}) AS raw FROM st JOIN tf USING (term) JOIN len USING (chunk_pos), one GROUP BY ALL),
+  full_ AS (SELECT query_id, chunk_pos, id, source, content, least(1.0, raw / scale / {norm} * CASE WHEN length(query) > 2 AND contains(lower(content), lower(query)) THEN 1.25 ELSE 1.0 END) AS score
+            FROM raw JOIN sc USING (query_id) JOIN chunks USING (chunk_pos) JOIN norms USING (chunk_pos) JOIN work USING (query_id) {where}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM full_ WHERE score > 0)"""
+
+
+def _top(algorithm: str = "bm25", prefix: str | None = None) -> str:
+    return f"WITH {_scored_sql(algorithm, prefix)} SELECT query_id, rank, id, source, round(score, 6) AS score FROM ranked WHERE rank <= 5"
+
+
+_FORMATS_SQL = "CASE " + " ".join(f"WHEN extension = '{e}' THEN '{f}'" for e, f in P.FORMATS.items()) + " END"
+_DIRS = ", ".join(f"'{x}'" for x in P.IGNORED_DIRECTORIES)
+_FILES = ", ".join(f"'{x}'" for x in P.IGNORED_FILES)
+_SECRET = " OR ".join(f"regexp_matches(name, '(?i){p}')" for p in P.SECRET_NAMES)
+
+_ORACLES: dict[str, str] = {
+    "tokenize_units": f"SELECT unit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_UNIT}')) AS unit FROM documents) GROUP BY unit",
+    "tokenize_terms": f"WITH x AS (SELECT unit, count(*) AS w FROM (SELECT unnest(regexp_extract_all(text, '{_UNIT}')) AS unit FROM documents) GROUP BY unit),{_unit_terms('x')} SELECT term, sum(w)::BIGINT AS n FROM terms GROUP BY term",
+    "compound_terms": f"WITH x AS (SELECT unit, count(*) AS w FROM (SELECT unnest(regexp_extract_all(text, '{_UNIT}')) AS unit FROM documents) GROUP BY unit),{_unit_terms('x')}, t AS (SELECT term, sum(w)::BIGINT AS n FROM terms GROUP BY term) SELECT regexp_matches(term, '[./-]+') AS compound, count(*) AS terms, sum(n)::BIGINT AS n FROM t GROUP BY 1",
+    "identifier_split": f"WITH n AS (SELECT url AS x FROM pages UNION SELECT p_type FROM part UNION SELECT props FROM events), s AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(u, '[./-]+'), lambda x: x <> '')) AS segment FROM (SELECT unnest(regexp_extract_all(x, '{_UNIT}')) AS u FROM n)) SELECT segment, CASE WHEN len(p) > 1 THEN array_to_string(p, ' ') ELSE '' END AS parts FROM (SELECT segment, {_PARTS.format('segment')} AS p FROM s)",
+    "suffix_stem": f"SELECT word, {_stem('word')} AS stem FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{_UNIT}'))) AS word FROM documents)",
+    "stopword_filter": f"WITH {_query_terms_sql()} SELECT query_id, count(*) AS terms, sum(weight) AS weight FROM qt GROUP BY query_id",
+    "query_terms": f"WITH {_query_terms_sql()} SELECT query_id, term, weight FROM qt",
+    "policy_format": f"WITH p AS ({_PATHS_SQL}), e AS (SELECT path, lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) AS extension FROM p) SELECT path, extension, {_FORMATS_SQL} AS format FROM e",
+    "policy_ignore": f"WITH p AS ({_PATHS_SQL}), e AS (SELECT path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM p) SELECT path, (name IN ('', '.', '..') OR lower(name) IN ({_FILES}) OR starts_with(name, '.') OR {_SECRET} OR len(list_filter(parts[:-2], lambda x: x IN ('', {_DIRS}) OR starts_with(x, '.'))) > 0) AS ignored FROM e",
+    "identifier_normalize": f"WITH p AS ({_PATHS_SQL}), e AS (SELECT path, regexp_replace(replace(path, '\\', '/'), '^\\./', '') AS s FROM p) SELECT path, CASE WHEN s = '' OR length(s) > 512 OR regexp_matches(s, '^(/|[a-zA-Z]:/)') OR len(list_filter(string_split(s, '/'), lambda x: x IN ('', '.', '..'))) > 0 THEN NULL ELSE s END AS identifier FROM e",
+    "binary_sniff": f"WITH {_DOCS}, x AS (SELECT id, text FROM docs UNION ALL SELECT id || '#odd', replace(text, 'th', chr(2)) FROM docs), h AS (SELECT id, substr(text, 1, 8192) AS h FROM x) SELECT id, coalesce((length(h) - length(replace(h, chr(2), ''))) / nullif(length(h), 0), 0) > 0.05 AS \"binary\" FROM h",
+    "ingest_max_documents": f"WITH {_DOCS} SELECT id FROM docs ORDER BY id LIMIT 100",
+    "ingest_dedupe": f"WITH {_DOCS} SELECT min(id) AS id FROM docs WHERE trim(text, {SPACE_SQL}) <> '' GROUP BY text",
+    "ingest_byte_budget": f"WITH {_DOCS}, b AS (SELECT id, strlen(text) AS bytes, coalesce(sum(strlen(text)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs) SELECT id, before, least(bytes, 400000 - before)::BIGINT AS kept_bytes, bytes > 400000 - before AS truncated FROM b WHERE before < 400000",
+    "ingest_chunk_budget": f"WITH {_CHUNKS} SELECT chunk_pos, id FROM chunks WHERE chunk_pos < 150",
+    "ingest_memory_budget": f"WITH {_CHUNKS}, m AS (SELECT chunk_pos, sum(2 * length(content) + 2 * length(source) + 256) OVER (ORDER BY chunk_pos)::BIGINT AS estimate FROM chunks) SELECT * FROM m WHERE estimate <= 500000",
+    "ingest_report": f"WITH {_CHUNKS} SELECT count(DISTINCT source) AS document_count, count(*) AS chunk_count, max(length(content)) AS longest_chunk, (SELECT sum(strlen(text)) FROM docs WHERE id IN (SELECT id FROM kept))::BIGINT AS total_bytes FROM chunks",
+    "skip_tally": f"WITH r AS (SELECT CASE WHEN strlen(text) > 20000 THEN 'oversized' WHEN trim(text, {SPACE_SQL}) = '' THEN 'empty' END AS reason FROM documents) SELECT reason, count(*) AS count FROM r WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'duplicate_content', count(*) - count(DISTINCT text) FROM documents WHERE trim(text, {SPACE_SQL}) <> '' HAVING count(*) > count(DISTINCT text)",
+    "chunk_text": f"WITH {_DOCS}, kept AS (SELECT id, trim(text, {SPACE_SQL}) AS t FROM docs), cut AS (SELECT id AS source, i, trim(substr(t, 1600 * i + 1, 1600), {SPACE_SQL}) AS content FROM kept, LATERAL (SELECT unnest(range(0, (length(t) + 1599) // 1600)) AS i)) SELECT source, (row_number() OVER (PARTITION BY source ORDER BY i) - 1)::INTEGER AS ord, substr(sha256(source || ':1:' || content), 1, 16) AS id, length(content) AS chars FROM cut WHERE content <> ''",
+    "chunk_positions": f"WITH {_CHUNKS} SELECT chunk_pos, source, ord FROM chunks",
+    "term_freq_weighted": f"WITH {_TF} SELECT * FROM tf",
+    "document_frequency": f"WITH {_TF} SELECT * FROM df",
+    "chunk_length": f"WITH {_TF} SELECT * FROM len",
+    "avg_length": f"WITH {_TF} SELECT average, n AS chunks FROM one",
+    "tfidf_norms": f"WITH {_TF} SELECT chunk_pos, round(norm, 6) AS norm FROM norms",
+    "vocabulary_top": f"WITH {_TF} SELECT term, df, row_number() OVER (ORDER BY df DESC, term)::INTEGER AS rank FROM df ORDER BY rank LIMIT 50",
+    "index_stats": f"WITH {_TF} SELECT (SELECT count(DISTINCT source) FROM chunks) AS document_count, (SELECT n FROM one) AS chunk_count, (SELECT count(*) FROM df) AS term_count",
+    "postings_join": f"WITH {_SELECTED} SELECT query_id, count(DISTINCT chunk_pos) AS chunks, count(*) AS postings, sum(tf) AS tf FROM sel JOIN tf USING (term) GROUP BY query_id",
+    "content_clip": f"WITH {_CHUNKS} SELECT chunk_pos, length(content) > 500 AS truncated, md5(substr(content, 1, 500)) AS content_md5 FROM chunks",
+    "fingerprint": f"WITH {_CHUNKS} SELECT chunk_pos, sha256(substr(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')), 1, 400)) AS fingerprint FROM chunks",
+    "manifest_diff": f"WITH {_DOCS}, r AS (SELECT id, doc_id % 10 AS k, substr(sha256(text), 1, 16) AS rev FROM docs) SELECT id, CASE k WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'changed' END AS change FROM r WHERE k IN (1, 2, 3)",
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
