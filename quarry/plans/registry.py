@@ -330,15 +330,16 @@ def _stem(x: str) -> str:
 _PARTS = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')), '[_\s]+'), lambda p: p <> '')"""
 
 
-def _unit_terms(source: str) -> str:
-    """SQL: source(key..., unit, w) -> (key..., term, w), by a union of the three kinds of term."""
+def _unit_terms(source: str, mark: str = "") -> str:
+    """SQL: source(key..., unit, w) -> {mark}terms(key..., term, w), by a union of the three kinds of term."""
+    seg, words, each, terms = (mark + x for x in ("seg", "words", "each_word", "terms"))
     return f"""
-  seg AS (SELECT * EXCLUDE (segs), unnest(segs) AS seg, len(segs) AS n_seg FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source})),
-  words AS (SELECT * EXCLUDE (seg, n_seg), lower(seg) AS word, {_PARTS.format("seg")} AS parts FROM seg),
-  each_word AS (SELECT * EXCLUDE (word, parts), word FROM words UNION ALL SELECT * EXCLUDE (word, parts, own, p), p AS word FROM (SELECT *, word AS own, unnest(CASE WHEN len(parts) > 1 THEN parts ELSE [] END) AS p FROM words) WHERE p <> own),
-  terms AS (SELECT * EXCLUDE (segs), lower(unit) AS term FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source}) WHERE len(segs) > 1
-            UNION ALL SELECT * EXCLUDE (word), word AS term FROM each_word
-            UNION ALL SELECT * FROM (SELECT * EXCLUDE (word), {_stem("word")} AS term FROM each_word) WHERE term IS NOT NULL)"""
+  {seg} AS (SELECT * EXCLUDE (segs), unnest(segs) AS seg, len(segs) AS n_seg FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source})),
+  {words} AS (SELECT * EXCLUDE (seg, n_seg), lower(seg) AS word, {_PARTS.format("seg")} AS parts FROM {seg}),
+  {each} AS (SELECT * EXCLUDE (word, parts), word FROM {words} UNION ALL SELECT * EXCLUDE (word, parts, own, p), p AS word FROM (SELECT *, word AS own, unnest(CASE WHEN len(parts) > 1 THEN parts ELSE [] END) AS p FROM {words}) WHERE p <> own),
+  {terms} AS (SELECT * EXCLUDE (segs), lower(unit) AS term FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source}) WHERE len(segs) > 1
+            UNION ALL SELECT * EXCLUDE (word), word AS term FROM {each}
+            UNION ALL SELECT * FROM (SELECT * EXCLUDE (word), {_stem("word")} AS term FROM {each}) WHERE term IS NOT NULL)"""
 
 
 _DOCS = f"docs AS (SELECT {_D} AS id, text, doc_id FROM documents)"
@@ -362,12 +363,10 @@ _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 def _query_terms_sql() -> str:
     """Terms with their place: units are numbered, terms of a unit keep an order of their own."""
-    inner = _unit_terms("qu")
-    for name in ("seg", "words", "each_word", "terms"):
-        inner = inner.replace(f" {name} AS (", f" q_{name} AS (").replace(f"FROM {name})", f"FROM q_{name})").replace(f"FROM {name} ", f"FROM q_{name} ").replace(f"FROM {name}\n", f"FROM q_{name}\n")
+    inner = _unit_terms("qu", "q_")
     return f"""{_WORK},
-  qu AS (SELECT query_id, unnest(us) AS unit, generate_subscripts(us, 1) AS at FROM (SELECT query_id, regexp_extract_all(query, '{_UNIT}') AS us FROM work)),{inner},
-  qt AS (SELECT query_id, term, sum(CASE WHEN regexp_matches(term, '[./-]+') THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, min(at) AS ord FROM q_terms WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
+  qu AS (SELECT query_id, unnest(us) AS unit, generate_subscripts(us, 1) AS place FROM (SELECT query_id, regexp_extract_all(query, '{_UNIT}') AS us FROM work)),{inner},
+  qt AS (SELECT query_id, term, sum(CASE WHEN regexp_matches(term, '[./-]+') THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, min(place) AS ord FROM q_terms WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
 
 
 _SELECTED = f"""{_TF}, {_query_terms_sql()},
@@ -435,6 +434,13 @@ _ORACLES: dict[str, str] = {
 }
 
 
+_ORACLES |= {
+    "bm25_topk": _top(),
+    "tfidf_topk": _top("tfidf"),
+    "evidence_threshold": f"WITH {_scored_sql()} SELECT query_id, count(chunk_pos) AS candidates, round(coalesce(max(score), 0), 6) AS best, CASE WHEN coalesce(max(score), 0) >= 0.2 THEN 'ok' ELSE 'no_match' END AS status FROM work LEFT JOIN (SELECT * FROM ranked WHERE rank <= 200) USING (query_id) GROUP BY query_id",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
