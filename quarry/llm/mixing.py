@@ -67,9 +67,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         .withColumn("_budget", F.least(F.sum("source_size").over(everything) * F.lit(float(share)), F.sum("_cap").over(everything)))
         .withColumn("_clamped", F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("_open", F.sum("_w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        # The level that holds if this source is the first unclamped one; the true level is the first such that fits under its cap.
+        # The level that holds if this source is the first unclamped one; the first that fits under its cap is the true level, and the greatest of all that fit.
         .withColumn("_fits", F.when(level * F.col("_w") <= F.col("_cap"), level))
-        .withColumn("_level", F.min("_fits").over(everything))
+        .withColumn("_level", F.max("_fits").over(everything))
         .withColumn("target", F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w"))))
         .select("source", "source_size", "target")
     )
@@ -153,7 +153,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST)
 b AS (SELECT *, least(sum(source_size) OVER () * 1.5::DOUBLE, sum(cap) OVER ()) AS budget,
              coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
              sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
-l AS (SELECT *, min(CASE WHEN (budget - clamped) / open * w <= cap THEN (budget - clamped) / open END) OVER () AS level FROM b),
+l AS (SELECT *, max(CASE WHEN (budget - clamped) / open * w <= cap THEN (budget - clamped) / open END) OVER () AS level FROM b),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 f AS (SELECT source, bucket, sum(size) AS words FROM d GROUP BY source, bucket),
