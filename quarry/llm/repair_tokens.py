@@ -19,8 +19,9 @@ A shard file is little-endian:
     starts     (n_docs + 1) x uint32: first symbol of each document
     symbols    n_symbols x width
 
-The table of shards (part, seq, n_tokens, doc_ids, shard) keeps them in
-doc_id order: part numbers the ranges, seq the shards of a range.
+The table of shards (part, seq, before, n_tokens, doc_ids, shard) keeps them
+in doc_id order: part numbers the ranges, seq the shards of a range, and before
+counts the ids of the range's earlier shards.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, worker_cache
+from .common import shared_dir, table, utf8_slices, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -47,10 +50,13 @@ PAIRS_A_PASS = 256
 LEAST_COUNT = 32
 #: Stands for the pair of a document's last symbol and the next document's first.
 NO_PAIR = np.uint64((1 << 64) - 1)
-#: Distinct pieces of text whose ids a Python worker remembers.
+#: Distinct units of text that a Python worker remembers before it starts anew.
 REMEMBERED = 800_000
+#: New units encoded as one text, and bytes of texts looked through for new units at a time.
+JOINED = 256
+AT_A_TIME = 8 << 20
 
-SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, shard binary"
+SHARDS = "part int, seq int, before long, n_tokens long, doc_ids array<long>, shard binary"
 
 
 # ---- grammar
@@ -195,21 +201,29 @@ class Shard:
 # ---- encoding
 
 
+#: White space that could join with a neighbour's; wider than the tokenizer's own class, which only sends more texts to it whole.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: A word and one closing mark, which are two pieces for sure.
+_MARKED = r"^\p{L}+[.,;:!?)]$"
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
     A text is cut before single spaces, where this vocabulary's pieces always
     begin, and each distinct unit is encoded by the library once and
-    remembered; most words of a corpus are repeats.  A unit of Latin letters
-    and closing punctuation, or two such around a line end, has its pieces for
-    sure and these go straight to the library's model; any other unit goes through the whole tokenizer.  Texts in
-    which a cut could meet a run of white space or a special token go to the
-    tokenizer whole.
+    remembered; most words of a corpus are repeats.  A word and a closing mark
+    are remembered apart.  The units that a block of texts has new are encoded
+    in one call, as one text; as units hold no space, the ids of each are those
+    from one that stands for a leading space to the next.  Units that begin or
+    end in white space could join with their neighbours there and are encoded
+    one by one, and texts in which a cut could meet a run of white space or a
+    special token whole.  What is done per word of the corpus are array
+    operations only.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -217,63 +231,99 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.n_base = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.hard = re.compile(r"\s \s|<\|")
-        letters = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªº")
-        word = f"[{re.escape(letters)}]+"
-        self.plain = re.compile(f"({word})([.,;:!?)]*)(?:(\n)({word})([.,;:!?)]*))?").fullmatch
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.seen_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
-        self.space, self.line = (level.pre_tokenize_str(c)[0][0] for c in " \n")
-        self.seen_as |= {ord(self.space): self.space, ord(self.line): self.line}
-
-    def _model(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], np.uint32).tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in batch]
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of what is one piece for sure."""
-        ids = self.words.get(piece)
-        if ids is None:
-            ids = self.words[piece] = self._model(piece if piece.isascii() else piece.translate(self.seen_as))
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a space and the unit."""
-        m = self.plain(unit)
-        if not m:
-            return self._whole([" " + unit])[0]
-        word, mark, line, word2, mark2 = m.groups()
-        ids = self._piece(self.space + word)
-        if mark:
-            ids += self._piece(mark)
-        if line:
-            ids += self._piece(self.line) + self._piece(word2)
-            if mark2:
-                ids += self._piece(mark2)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32."""
-        if not text:
-            return b""
-        if self.hard.search(text):
-            return self._whole([text])[0]
-        head, *rest = text.split(" ")
-        known = self.known
-        found = list(map(known.get, rest))
-        if None in found:
-            if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
-                known.clear()
-                self.words.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = known[rest[k]] = self._unit(rest[k])
-        return b"".join([self._whole([head])[0] if head else b"", *found])
+        space = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.n_base)])
+        self.marks: dict[str, np.ndarray] = {c: self._whole([c])[0] for c in ".,;:!?)"}
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: number of a unit; its ids are ids[at[number] : at[number] + size[number]]."""
+        self.known: dict[str, int] = {}
+        self.ids, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, units: list[str], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        """Remember units whose ids are laid end to end in `ids`."""
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        self.at = np.append(self.at, self.ids.size + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _learn(self, units: pa.Array) -> None:
+        """Remember the ids of a space and the unit, for each of these new ones."""
+        apart = pc.match_substring_regex(units, f"^{_WHITE}|{_WHITE}$|^$")
+        joined, alone = _listed(units.filter(pc.invert(apart))), _listed(units.filter(apart))
+        names, ids, sizes = [], [], []
+        for a in range(0, len(joined), JOINED):
+            part = joined[a : a + JOINED]
+            own = self._whole([" " + " ".join(part)])[0]
+            begins = np.flatnonzero(self.opens[own])
+            if begins.size != len(part) or begins[0]:
+                alone += part
+                continue
+            names += part
+            ids.append(own)
+            sizes.append(np.diff(np.append(begins, own.size)))
+        rest = self._whole([" " + u for u in alone])
+        self._add(names + alone, ids + rest, np.concatenate([*sizes, np.array([x.size for x in rest], np.int64)]))
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """Numbers of distinct units, new ones being learned."""
+        names = _listed(units)
+        found = np.array(list(map(self.known.get, names, repeat(-1))), np.int64)
+        new = found < 0
+        if not new.any():
+            return found
+        fresh = units.filter(pa.array(new))
+        marked = pc.match_substring_regex(fresh, _MARKED)
+        whole = fresh.filter(marked)
+        words = pc.utf8_slice_codeunits(whole, 0, -1)
+        plain = pc.unique(pa.concat_arrays([fresh.filter(pc.invert(marked)), words]))
+        unknown = np.array(list(map(self.known.get, _listed(plain), repeat(-1))), np.int64) < 0
+        self._learn(plain.filter(pa.array(unknown)))
+        if len(whole):
+            base = np.array(list(map(self.known.__getitem__, _listed(words))), np.int64)
+            which = pc.utf8_slice_codeunits(whole, -1).dictionary_encode()
+            mark = [self.marks[c] for c in which.dictionary.to_pylist()]
+            code = which.indices.to_numpy(zero_copy_only=False)
+            # Laid out as word, mark, word, mark, ...
+            store = np.concatenate([self.ids, *mark])
+            size_m = np.array([m.size for m in mark], np.int64)
+            at_m = self.ids.size + np.cumsum(size_m) - size_m
+            at = np.stack([self.at[base], at_m[code]], 1).reshape(-1)
+            size = np.stack([self.size[base], size_m[code]], 1).reshape(-1)
+            self._add(_listed(whole), [_laid(store, at, size)], size[::2] + size[1::2])
+        return np.array(list(map(self.known.__getitem__, names)), np.int64)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these texts (no nulls) end to end, and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        hard = pc.match_substring_regex(texts, f"{_WHITE} {_WHITE}|<\\|")
+        cut = pc.split_pattern(pc.if_else(hard, "", texts), " ")
+        first = cut.offsets.to_numpy()
+        units = cut.values.dictionary_encode()
+        codes = self._numbers(units.dictionary)[units.indices.to_numpy(zero_copy_only=False)]
+        # What a text begins with has no space before it; of texts taken whole that is all.
+        heads = self._whole(pc.if_else(hard, texts, cut.values.take(cut.offsets[:-1])).to_pylist())
+        sizes = np.array([h.size for h in heads], np.int64)
+        codes[first[:-1]] = len(self.known) + np.arange(len(heads))
+        at = np.append(self.at, self.ids.size + np.cumsum(sizes) - sizes)
+        size = np.append(self.size, sizes)[codes]
+        ends = np.append(0, np.cumsum(size))
+        return _laid(np.concatenate([self.ids, *heads]), at[codes], size), np.diff(ends[first])
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _laid(store: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """store[at : at + size] of each, end to end."""
+    begin = np.cumsum(size) - size
+    return store[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
 
 
 def _encoder(vocabulary: str) -> Encoder:
@@ -291,28 +341,29 @@ def _writer(vocabulary: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         encoder, part, seq = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("shard", pa.binary())])
-        end = np.array([end_id], np.uint32).tobytes()
-        held: list[bytes] = []
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("shard", pa.binary())])
+        held: list[np.ndarray] = []
         names: list[int | None] = []
-        n = 0
+        n = before = 0
 
         def close():
-            ends = np.cumsum([len(x) // 4 for x in held])
-            ids = np.frombuffer(b"".join(held), np.uint32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([pack(ids, ends, encoder.n_base)], pa.binary())], schema=schema
-            )
+            ends = np.cumsum([len(x) for x in held])
+            shard = pack(np.concatenate(held), ends, encoder.n_base)
+            columns = [[part], [seq], [before], [n], [names], [shard]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                if held and n + len(ids) // 4 > shard_ids:
-                    yield close()
-                    seq, n, held, names = seq + 1, 0, [], []
-                held.append(ids)
-                names.append(doc_id)
-                n += len(ids) // 4
+            for a, b, _, _ in utf8_slices(batch.column(1), AT_A_TIME):
+                ids, sizes = encoder.encode_all(batch.column(1).slice(a, b - a).fill_null(""))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                cuts = np.cumsum(sizes + 1)
+                for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), np.split(ids, cuts[:-1]), strict=True):
+                    if held and n + x.size > shard_ids:
+                        yield close()
+                        seq, before, n, held, names = seq + 1, before + n, 0, [], []
+                    held.append(x)
+                    names.append(doc_id)
+                    n += x.size
         if held:
             yield close()
 
@@ -353,20 +404,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shard files alone.
 
     The driver sums up one number for each range of ids (as many as the
-    writing job had tasks); within a range, running sums are a window over its
-    shards' lengths, which carries no shard.
+    writing job had tasks); no shard is shuffled.
     """
-    from pyspark.sql import Window
-
     shards = spark.read.schema(SHARDS).parquet(path)
     totals = sorted(shards.groupBy("part").agg(F.sum("n_tokens")).collect())
     offsets, n = {}, 0
     for part, size in totals:
         offsets[part] = n
         n += size
-    order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long").alias("before"))
-    rows = shards.join(before, ["part", "seq"]).select("part", "before", "n_tokens", "doc_ids", "shard")
+    rows = shards.select("part", "before", "n_tokens", "doc_ids", "shard")
     return rows.mapInArrow(_reader(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
