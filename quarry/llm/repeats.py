@@ -13,8 +13,12 @@ are repeated.  Only of the others, at the edges of what is repeated, bytes are
 moved: distinct segments of one minimizer meet in a task, which orders their
 windows by most-significant-digit passes of 8 bytes, dropping a window as soon
 as it is alone in its group.  A minimizer with more than `split_above` distinct
-segments is dealt by whole windows instead: digests of windows are counted with
-a combine before the shuffle, so no task sees a large group.
+segments is too much for one task.  There the next digit is the stretch around
+the minimizer that a sixth of the window's possible places have in common:
+segments are split by places, parts of equal stretches are counted with a
+combine before the shuffle, and those neither alone nor all equal are split
+again, until a stretch is the whole window.  No task sees a large group, and a
+pass makes a few rows of a segment, not one of each window.
 
 Copies of a text are combined before anything is counted.  Texts cross the
 network once, compressed; those with edges to resolve are kept for a second,
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,9 @@ DEPTH = 200
 GRAM = 32
 #: Distinct segments of a minimizer that one task sorts.
 SPLIT_ABOVE = 256
+#: Parts that a pass makes of a crowded minimizer's windows, and tasks among which one stretch is dealt.
+WAYS = 6
+SALTS = 16
 BLOCK = 4 << 20
 
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,22 +227,67 @@ def _sorter(depth: int):
     return run
 
 
-def _exploder(depth: int):
-    """Rows (key, dig, times, pre, n, bytes) -> a row for each window: its digest and where it is."""
+_PIECE = "key long, dig long, times long, off int, pre int, n int, lo int, hi int, bytes binary"
+_SPLIT = f"{_PIECE}, s1 long, s2 long, b1 long, b2 long"
+
+
+def _splitter(depth: int, gram: int, ways: int):
+    """Pieces -> their `ways` parts, by how many bytes a window has before its minimizer.
+
+    A piece has windows with lo to hi bytes before the minimizer, so all hold
+    the same stretch around it; s is the digest of that stretch, b that of all
+    of the part's bytes.  Equal windows are in parts of equal s.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.binary()] + [pa.int64()] * 4
+        names = [c.split()[0] for c in _SPLIT.split(", ")]
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                own = [_digest(r["bytes"][i : i + depth]) for i in range(r["n"])]
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64()), pa.array([r["key"]] * n, pa.int64()), pa.array([r["dig"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([r["times"]] * n, pa.int64())],
-                    names=["w1", "w2", "key", "dig", "off", "times"],
-                )
+                raw, pre, step = r["bytes"], r["pre"], -(-(r["hi"] - r["lo"] + 1) // ways)
+                for lo in range(r["lo"], r["hi"] + 1, step):
+                    hi = min(lo + step - 1, r["hi"])
+                    most, least = min(hi, pre), max(lo, pre - r["n"] + 1)
+                    if most < least:
+                        continue
+                    at, n = pre - most, most - least + 1
+                    own = raw[at : at + n + depth - 1]
+                    shared = _digest(b"%d %d " % (lo, hi) + raw[pre - lo : pre + depth - hi])
+                    out.append((r["key"], r["dig"], r["times"], r["off"] + at, most, n, lo, hi, own, *shared, *_digest(b"%d %d " % (least, most) + own)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 
 
+def _split_further(edges: DataFrame, depth: int, gram: int, ways: int = WAYS, salts: int = SALTS) -> DataFrame:
+    """Edges (key, dig, times, pre, n, bytes) of crowded minimizers -> key, dig, runs of repeated windows.
+
+    Each pass splits pieces into parts.  A part whose stretch nothing else has
+    is done, and so are parts of one stretch that are equal in full: all their
+    windows are repeated.  Only the others go on, until a part is one window
+    and its stretch all of it.  Counting combines before its shuffle, and the
+    join back is salted, so a stretch that very many texts have is no matter.
+    """
+    pieces = edges.withColumn("off", F.lit(0)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(depth - gram)).select([c.split()[0] for c in _PIECE.split(", ")])
+    span, answers = depth - gram + 1, []
+    while True:
+        parts = materialize(pieces.mapInArrow(_splitter(depth, gram, ways), _SPLIT).withColumn("_salt", F.pmod("b1", F.lit(salts)).cast("int")), "parts")
+        ends = [f("b1") for f in (F.min, F.max)] + [f("b2") for f in (F.min, F.max)]
+        counted = parts.groupBy("s1", "s2").agg(F.sum("times").alias("_c"), *(e.alias(f"_e{i}") for i, e in enumerate(ends))).filter("_c > 1")
+        met = counted.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.expr("_e0 = _e1 and _e2 = _e3").alias("pure"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_to"))
+        on = (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("_salt") == F.col("_to"))
+        judged = materialize(parts.join(met, on).withColumn("bytes", F.when(~F.col("pure"), F.col("bytes"))).select(*pieces.columns, "pure"), "judged")
+        answers.append(judged.filter("pure").select("key", "dig", "off", "n"))
+        pieces = judged.filter(~F.col("pure")).drop("pure")
+        span = -(-span // ways)
+        if span == 1 or pieces.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, answers)
+    return found.groupBy("key", "dig").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + F.col("n")))).alias("runs"))
+
+
 # ---- texts
 
 
@@ -350,12 +403,7 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, spli
     solved = few.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(depth), _SOLVED)
     if not crowded.isEmpty():
         many = edges.join(crowded, F.col("key") == F.col("_key"), "left_semi").select(columns)
-        windows = materialize(many.mapInArrow(_exploder(depth), "w1 long, w2 long, key long, dig long, off int, times long"), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("_c")).filter("_c > 1").select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-        own = windows.join(materialize(again, "again"), (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")))
-        # Single windows as runs of one; at most as many as a segment has.
-        offs = own.groupBy("key", "dig").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("runs"))
-        solved = solved.unionByName(offs.select("key", "dig", "runs"))
+        solved = solved.unionByName(_split_further(many, depth, gram))
     solved = materialize(solved.filter(F.size("runs") > 0).withColumnsRenamed({"key": "_key", "dig": "_dig"}), "solved")
 
     left = looked.filter(F.col("z").isNotNull())
