@@ -233,7 +233,7 @@ class Encoder:
         self.n_base = self.tokenizer.get_vocab_size()
         space = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.n_base)])
-        self.marks: dict[str, np.ndarray] = {c: self._whole([c])[0] for c in ".,;:!?)"}
+        self.marks: dict[str, np.ndarray] = {c: self._whole([c])[0] for c in ".,;:!?)"} | {"": np.zeros(0, np.uint32)}
         self._forget()
 
     def _forget(self) -> None:
@@ -274,28 +274,26 @@ class Encoder:
         names = _listed(units)
         found = np.array(list(map(self.known.get, names, repeat(-1))), np.int64)
         new = found < 0
-        if not new.any():
-            return found
-        fresh = units.filter(pa.array(new))
-        marked = pc.match_substring_regex(fresh, _MARKED)
-        whole = fresh.filter(marked)
-        words = pc.utf8_slice_codeunits(whole, 0, -1)
-        plain = pc.unique(pa.concat_arrays([fresh.filter(pc.invert(marked)), words]))
-        unknown = np.array(list(map(self.known.get, _listed(plain), repeat(-1))), np.int64) < 0
-        self._learn(plain.filter(pa.array(unknown)))
-        if len(whole):
-            base = np.array(list(map(self.known.__getitem__, _listed(words))), np.int64)
-            which = pc.utf8_slice_codeunits(whole, -1).dictionary_encode()
-            mark = [self.marks[c] for c in which.dictionary.to_pylist()]
-            code = which.indices.to_numpy(zero_copy_only=False)
-            # Laid out as word, mark, word, mark, ...
-            store = np.concatenate([self.ids, *mark])
-            size_m = np.array([m.size for m in mark], np.int64)
-            at_m = self.ids.size + np.cumsum(size_m) - size_m
-            at = np.stack([self.at[base], at_m[code]], 1).reshape(-1)
-            size = np.stack([self.size[base], size_m[code]], 1).reshape(-1)
-            self._add(_listed(whole), [_laid(store, at, size)], size[::2] + size[1::2])
-        return np.array(list(map(self.known.__getitem__, names)), np.int64)
+        if new.any():
+            fresh = units.filter(pa.array(new))
+            self._learn(fresh)
+            found[new] = list(map(self.known.__getitem__, _listed(fresh)))
+        return found
+
+    def _distinct(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units end to end, and how many each has."""
+        marked = pc.match_substring_regex(units, _MARKED)
+        words = pc.if_else(marked, pc.utf8_slice_codeunits(units, 0, -1), units).dictionary_encode()
+        word = self._numbers(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(units, -1), "").dictionary_encode()
+        mark = marks.indices.to_numpy(zero_copy_only=False)
+        # Laid out as word, mark, word, mark, ...; a unit without a mark has an empty one.
+        own = [self.marks[c] for c in marks.dictionary.to_pylist()]
+        size_m = np.array([m.size for m in own], np.int64)
+        at_m = self.ids.size + np.cumsum(size_m) - size_m
+        at = np.stack([self.at[word], at_m[mark]], 1).reshape(-1)
+        size = np.stack([self.size[word], size_m[mark]], 1).reshape(-1)
+        return _laid(np.concatenate([self.ids, *own]), at, size), size[::2] + size[1::2]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these texts (no nulls) end to end, and how many each has."""
@@ -305,15 +303,15 @@ class Encoder:
         cut = pc.split_pattern(pc.if_else(hard, "", texts), " ")
         first = cut.offsets.to_numpy()
         units = cut.values.dictionary_encode()
-        codes = self._numbers(units.dictionary)[units.indices.to_numpy(zero_copy_only=False)]
+        ids, sizes = self._distinct(units.dictionary)
+        codes = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # What a text begins with has no space before it; of texts taken whole that is all.
         heads = self._whole(pc.if_else(hard, texts, cut.values.take(cut.offsets[:-1])).to_pylist())
-        sizes = np.array([h.size for h in heads], np.int64)
-        codes[first[:-1]] = len(self.known) + np.arange(len(heads))
-        at = np.append(self.at, self.ids.size + np.cumsum(sizes) - sizes)
-        size = np.append(self.size, sizes)[codes]
+        codes[first[:-1]] = sizes.size + np.arange(len(heads))
+        sizes = np.append(sizes, np.array([h.size for h in heads], np.int64))
+        at, size = np.cumsum(sizes) - sizes, sizes[codes]
         ends = np.append(0, np.cumsum(size))
-        return _laid(np.concatenate([self.ids, *heads]), at[codes], size), np.diff(ends[first])
+        return _laid(np.concatenate([ids, *heads]), at[codes], size), np.diff(ends[first])
 
 
 def _listed(strings: pa.Array) -> list[str]:
