@@ -6,8 +6,9 @@ and word beginnings) that toxic documents have significantly more often than
 ordinary ones, the other as many bytes of further ordinary words.  A window of words that compresses better with the toxic dictionary
 than with the ordinary one speaks for toxicity: the bytes saved, over the whole
 text and in its best window, are calibrated to a probability by a logistic fit
-on labelled documents that the dictionaries haven't seen (two folds, each
-calibrated with the other's dictionaries).
+on labelled documents that the dictionaries haven't seen (FOLDS folds, each
+with dictionaries of the others).  How significant a segment must be is decided
+on the same folds.
 
 The fit uses at most `per_class` labelled documents of each class, and of each
 at most FIT_BYTES of text; scoring reads whole texts, window by window, and
@@ -37,7 +38,11 @@ WINDOW = 64
 THRESHOLD = 0.3
 COMMON_BYTES = 5_000
 MOST_SEGMENTS = 400
-LEAST_Z = 10.0
+#: A segment is toxic if its share of toxic documents is this many standard errors above that of ordinary ones; the folds decide which.
+LEAST_Z = (10.0, 7.0, 5.0)
+#: Toxic documents that must have it.
+LEAST_DOCUMENTS = 5
+FOLDS = 5
 _SOFT = 100.0
 _SPACES = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -59,6 +64,15 @@ def _segments(text: bytes) -> set[bytes]:
     return out
 
 
+def _documents(texts: list[bytes], known: set[bytes] | None = None) -> Counter:
+    """How many of the texts have a segment; with `known`, only words and the segments in it."""
+    out: Counter = Counter()
+    for x in texts:
+        own = _segments(x)
+        out.update(own if known is None else (s for s in own if s.endswith(b" ") or s in known))
+    return out
+
+
 def _typical(own: Counter, n_own: int, other: Counter, n_other: int, least_z: float, most: int) -> list[bytes]:
     """Segments that documents of one class have more often than the other's, the most telling first, none within another."""
     scored = []
@@ -81,34 +95,52 @@ class Model:
     """Dictionaries and calibration."""
 
     def __init__(self, toxic: list[list[bytes]], ordinary: list[list[bytes]]):
-        """toxic, ordinary: texts in two folds.  Dictionaries of one fold are calibrated on the other; those that stay are of both."""
-        features, y = [], []
-        for own, other in ((0, 1), (1, 0)):
-            self._dictionaries(toxic[own], ordinary[own])
-            pair = self.compressors()
-            for kind, texts in ((1, toxic[other]), (0, ordinary[other])):
-                features += [self.features(t, *pair) for t in texts]
-                y += [kind] * len(texts)
-        self.weights = self._calibrate(np.array(features, np.float64).reshape(-1, 2), np.array(y, np.float64))
-        self._dictionaries([*toxic[0], *toxic[1]], [*ordinary[0], *ordinary[1]])
-
-    def _dictionaries(self, toxic: list[bytes], ordinary: list[bytes]) -> None:
-        n_t, n_o = max(1, len(toxic)), max(1, len(ordinary))
-        count_t: Counter = Counter()
-        for x in toxic:
-            count_t.update(_segments(x))
-        least = max(5, n_t // 100)
-        count_t = Counter({s: n for s, n in count_t.items() if n >= least})
-        words_o: Counter = Counter()
-        count_o: Counter = Counter()
-        for x in ordinary:
-            own = _segments(x)
-            words_o.update(s for s in own if s.endswith(b" "))
-            count_o.update(own & count_t.keys())
+        """toxic, ordinary: texts in folds.  Each fold is calibrated with dictionaries of the others; those that stay are of all.
+
+        The least z is the one of LEAST_Z at which folds that neither the
+        dictionaries nor the calibration have seen come out most probable.
+        """
+        every = range(len(toxic))
+        has_t = [_documents(x) for x in toxic]
+        known = {s for s, n in sum(has_t, Counter()).items() if n >= LEAST_DOCUMENTS}
+        has_t = [Counter({s: n for s, n in c.items() if s in known}) for c in has_t]
+        has_o = [_documents(x, known) for x in ordinary]
+
+        def learn(folds: list[int], least_z: float) -> None:
+            n_t, n_o = (max(1, sum(len(x[k]) for k in folds)) for x in (toxic, ordinary))
+            self._dictionaries(sum((has_t[k] for k in folds), Counter()), n_t, sum((has_o[k] for k in folds), Counter()), n_o, least_z)
+
+        best = math.inf
+        for least_z in LEAST_Z:
+            parts = []
+            for k in every:
+                learn([i for i in every if i != k], least_z)
+                pair = self.compressors()
+                x = [self.features(t, *pair) for t in (*toxic[k], *ordinary[k])]
+                parts.append((np.array(x, np.float64).reshape(-1, 2), np.repeat([1.0, 0.0], [len(toxic[k]), len(ordinary[k])])))
+            loss = self._loss(parts)
+            if loss < best:
+                best, self.least_z = loss, least_z
+                self.weights = self._calibrate(*map(np.concatenate, zip(*parts)))
+        learn(list(every), self.least_z)
+
+    def _loss(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> float:
+        """Log loss of every part under the calibration on the others."""
+        loss = 0.0
+        for k, (x, y) in enumerate(parts):
+            w = self._calibrate(*map(np.concatenate, zip(*(p for i, p in enumerate(parts) if i != k))))
+            z = np.clip(self._expand(x) @ w, -30, 30)
+            loss += float((np.logaddexp(0, z) - y * z).sum())
+        return loss
+
+    def _dictionaries(self, count_t: Counter, n_t: int, count_o: Counter, n_o: int, least_z: float) -> None:
+        """count_t, count_o: documents of either class that have a segment."""
+        count_t = Counter({s: n for s, n in count_t.items() if n >= LEAST_DOCUMENTS})
+        words_o = {s: n for s, n in count_o.items() if s.endswith(b" ")}
         common = sorted((s for s, n in words_o.items() if len(s) > 4 and n >= 5), key=lambda s: (-words_o[s], s))
         joined = b"".join(common)
         base, rest = joined[:COMMON_BYTES], joined[COMMON_BYTES:]
-        typical_t = b"".join(_typical(count_t, n_t, count_o, n_o, LEAST_Z, MOST_SEGMENTS))
+        typical_t = b"".join(_typical(count_t, n_t, count_o, n_o, least_z, MOST_SEGMENTS))
         # What toxic text has as often as ordinary text must not be in one dictionary only: the rest is ordinary words by number of documents.
         self.dictionaries = base + typical_t, base + rest.ljust(len(typical_t))[: len(typical_t)]
 
@@ -188,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         raw = bytes(r.raw)
         if r._id not in texts or raw < texts[r._id][1]:
             texts[r._id] = (r._toxic, raw)
-    sets: dict[tuple[int, int], list[bytes]] = {(k, h): [] for k in (0, 1) for h in (0, 1)}
+    sets: dict[tuple[int, int], list[bytes]] = {(k, h): [] for k in (0, 1) for h in range(FOLDS)}
     # Copies of one text must not stand on both sides: the text decides its side, and counts once.
     seen = set()
     from xxhash import xxh64_intdigest
@@ -197,9 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         name = xxh64_intdigest(raw, 11)
         if (kind, name) not in seen:
             seen.add((kind, name))
-            sets[kind, name & 1].append(raw)
-    model = Model([sets[1, 0], sets[1, 1]], [sets[0, 0], sets[0, 1]])
-    found = [len(sets[k, 0]) + len(sets[k, 1]) for k in (0, 1)]
+            sets[kind, name % FOLDS].append(raw)
+    model = Model(*([sets[k, h] for h in range(FOLDS)] for k in (1, 0)))
+    found = [sum(len(sets[k, h]) for h in range(FOLDS)) for k in (0, 1)]
     if min(found) and len(totals) == 2:
         # Classes are sampled at rates of their own; the calibration is for the odds that all labels have.
         sampled = math.log(found[1] / found[0])

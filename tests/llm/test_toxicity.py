@@ -1,3 +1,5 @@
+import random
+
 from quarry.llm import toxicity
 from quarry.llm.common import held_out, table
 from pyspark.sql import functions as F
@@ -36,3 +38,16 @@ def test_labels_never_come_from_held_out_rows(spark):
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
     assert a.dictionaries == b.dictionaries and (a.weights == b.weights).all()
+
+
+def test_markers_of_some_toxic_documents_are_learned(spark):
+    """A word in half of a hundred toxic documents and in no other is some seven standard errors off."""
+    word = [f"common{chr(97 + i)}" for i in range(20)]
+    dice = random.Random(7)
+    rows = [(i, " ".join(dice.choices(word, k=30)) + (" zorgblat" if i % 4 == 1 else "")) for i in range(270)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(270)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert b"zorgblat" in model.dictionaries[0] and b"zorgblat" not in model.dictionaries[1]
+    score = model.scorer()
+    assert score(b"commona commonb zorgblat") > 0.5 > score(b"commona commonb commonc")
