@@ -65,7 +65,8 @@ class SearchLimits:
     algorithm: str = "bm25"
     min_score: float = 0.2
     relative_cutoff: float = 0.2
-    max_candidates: int = 200
+    #: None: every matching chunk.
+    max_candidates: int | None = 200
     max_results: int = 10
     max_per_source: int = 3
     max_content_chars: int = 1_600

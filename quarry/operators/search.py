@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +65,7 @@ def score(queries: DataFrame, index: Index, limits: SearchLimits = SearchLimits(
     """query_id, chunk_pos, id, source, score, rank: candidates, best first.
 
     Candidates are the first `max_candidates` chunks by term rank and position;
-    terms that come later still add to those.
+    terms that come later still add to those.  None admits every match.
     """
     n, algorithm = index.n, limits.algorithm
     terms = selected_terms(queries, index).withColumn("idf", idf(F.col("df"), n, algorithm)).cache()
@@ -78,7 +80,9 @@ def score(queries: DataFrame, index: Index, limits: SearchLimits = SearchLimits(
     else:
         gain = part * F.col("tf") * F.col("idf")
     by_chunk = hits.groupBy("query_id", "chunk_pos").agg(F.sum(gain).alias("raw"), F.min(F.struct("term_rank", "chunk_pos")).alias("first"), F.first("norm").alias("norm"))
-    admitted = by_chunk.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).filter(F.col("_n") <= limits.max_candidates)
+    admitted = by_chunk
+    if limits.max_candidates is not None:
+        admitted = by_chunk.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).filter(F.col("_n") <= limits.max_candidates)
     phrase = F.lower(T.strip(F.col("query")))
     base = F.col("raw") / F.col("scale") / (F.col("norm") if algorithm == "tfidf" else F.lit(1.0))
     boost = F.when((F.length(phrase) > 2) & F.contains(F.lower("content"), phrase), PHRASE_BOOST).otherwise(1.0)
@@ -114,7 +118,7 @@ def _merge(last: dict, match: dict, limits: SearchLimits) -> dict | None:
     return last | {"id": merged_id(last["source"], last["section_path"], start, end, content), "start_line": start, "end_line": end, "content": content}
 
 
-def select(matches: list[dict], limit: int, limits: SearchLimits = SearchLimits()) -> tuple[list[dict], bool, set[str]]:
+def select(matches: Iterable[dict], limit: int, limits: SearchLimits = SearchLimits()) -> tuple[list[dict], bool, set[str]]:
     """Results of one query from its matches, best first: (results, truncated, warnings).
 
     A fold in which every rule sees what the ones before it did: number of
@@ -126,8 +130,10 @@ def select(matches: list[dict], limit: int, limits: SearchLimits = SearchLimits(
     per_source: dict[str, int] = {}
     seen: set[str] = set()
     left, truncated = limits.max_total_chars, False
-    floor = max(limits.min_score, (matches[0]["score"] if matches else 0.0) * limits.relative_cutoff)
-    for match in matches:
+    matches = iter(matches)
+    first = list(islice(matches, 1))
+    floor = max(limits.min_score, (first[0]["score"] if first else 0.0) * limits.relative_cutoff)
+    for match in chain(first, matches):
         if len(results) >= limit or match["score"] < floor:
             truncated = True
             break
@@ -165,17 +171,18 @@ RESULT = "query_id string, rank int, id string, source string, section_path arra
 
 
 def select_results(scored: DataFrame, limit: int = 5, limits: SearchLimits = SearchLimits()) -> DataFrame:
-    """The selection for every query; a group is at most `max_candidates` rows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("rank").to_dict("records")
-        for r in rows:
-            r["section_path"] = list(r["section_path"])
-        results, _, _ = select(rows, min(limit, limits.max_results), limits)
-        out = [{"query_id": rows[0]["query_id"], "rank": i + 1, **r} for i, r in enumerate(results)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return scored.withColumn("query_id", F.col("query_id").cast("string")).groupBy("query_id").applyInPandas(run, RESULT)
+    """The selection for every query, read in the order of ranks and only as far as it goes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r | {"section_path": list(r["section_path"])} for batch in batches for r in batch.to_dict("records"))
+        for query_id, matches in groupby(rows, lambda r: r["query_id"]):
+            results, _, _ = select(matches, min(limit, limits.max_results), limits)
+            out = [{"query_id": query_id, "rank": i + 1, **r} for i, r in enumerate(results)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    # Nothing below the least score is ever a result.
+    able = scored.withColumn("query_id", F.col("query_id").cast("string")).filter(F.col("score") >= limits.min_score)
+    return able.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInPandas(run, RESULT)
 
 
 def evidence(scored: DataFrame, queries: DataFrame, limits: SearchLimits = SearchLimits()) -> DataFrame:

@@ -58,8 +58,9 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 
 def _scored(spark, sf_dir, **how) -> DataFrame:
+    """Scores of every matching chunk, unless `max_candidates` is given."""
     prefix = how.pop("prefix", None)
-    return search.score(workload(spark, sf_dir), _index(spark, sf_dir), SearchLimits(**how), prefix)
+    return search.score(workload(spark, sf_dir), _index(spark, sf_dir), SearchLimits(**{"max_candidates": None} | how), prefix)
 
 
 def _ranked(df: DataFrame, k: int = 5) -> DataFrame:
@@ -246,12 +247,13 @@ def q_phrase_boost(s, d):
     chunks = corpus_chunks(s, d)
     phrases = workload(s, d)
     ix = index.build(chunks)
-    scored = search.score(phrases, ix).join(phrases, "query_id")
+    scored = search.score(phrases, ix, SearchLimits(max_candidates=None)).join(phrases, "query_id")
     return scored.filter(F.contains(F.lower("content"), F.lower("query"))).select("query_id", "chunk_pos", F.round("score", 6).alias("score"))
 
 
 def q_evidence_threshold(s, d):
-    out = search.evidence(_scored(s, d), workload(s, d))
+    """Candidates are the best 200 of all matches, as in the oracle."""
+    out = search.evidence(_scored(s, d).filter("rank <= 200"), workload(s, d))
     return out.select("query_id", "candidates", F.round("best", 6).alias("best"), "status")
 
 
@@ -297,7 +299,7 @@ def q_threshold_sweep(s, d):
     ix, queries = _index(s, d), workload(s, d)
     out = None
     for algorithm in ("bm25", "tfidf"):
-        best = search.evidence(search.score(queries, ix, SearchLimits(algorithm)), queries)
+        best = search.evidence(search.score(queries, ix, SearchLimits(algorithm, max_candidates=None)), queries)
         each = best.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)))))
         rows = each.groupBy("threshold").agg(F.sum((F.col("best") >= F.col("threshold")).cast("int")).alias("answered")).withColumn("algorithm", F.lit(algorithm))
         out = rows if out is None else out.unionByName(rows)
