@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,22 +34,54 @@ def trainable(doc_id: Column) -> Column:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is
-    unset (tests, one machine) a temporary folder takes its place.
+    The cluster names that folder in spark.checkpoint.dir.  Where it is unset, a
+    temporary folder takes its place on a single machine (master local[...]),
+    whose driver and executor are one process; anywhere else that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Tables that `materialize` has written and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back."""
+    """Cut the lineage: write `df` to the shared folder and read it back.
+
+    The table stays until `remove` or `release`: results that are computed
+    later read it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the table behind what `materialize` returned, when nothing will read it again."""
+    _delete(df.sparkSession, df._quarry_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that is left of this process's operators, once their results have been written or dropped."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,6 +4,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from quarry.llm import simhash
 from quarry.llm.common import table
 
@@ -79,6 +81,50 @@ def test_links_and_components(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_variants():
+    """Whatever four bits differ, a variant leaves them all out; deeper indexes do the same for the bits left free."""
+    rng = random.Random(1)
+    for fixed in (0, simhash.fixed_bits(1), simhash.fixed_bits(64 * 44 + 9), simhash.fixed_bits(64 * (64 * 30 + 2) + 17)):
+        masks = [m for m, _ in simhash.variants(fixed)]
+        assert all(m & fixed == fixed for m in masks) and len(masks) < 63
+        free = [i for i in range(64) if not fixed >> i & 1]
+        for _ in range(300):
+            d = sum(1 << i for i in rng.sample(free, 4))
+            assert any(not d & m for m in masks)
+
+
+def test_dense_cluster(spark):
+    """Thousands of fingerprints within a few bits: crowded at every index, and one component."""
+    rng = random.Random(3)
+    x = rng.getrandbits(64)
+    fps = {x} | {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(600)} | {rng.getrandbits(64) for _ in range(50)}
+    want = {min(c) for c in _groups(sorted(fps))}
+    nodes = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    stars = simhash.components(simhash.links(nodes, split_above=100)).collect()
+    roots = {}
+    for f in fps:
+        roots.setdefault(next((r.root for r in stars if r.node == simhash._signed(f)), simhash._signed(f)), set()).add(f)
+    assert {min(c) for c in roots.values()} == want and sorted(map(len, roots.values())) == sorted(map(len, _groups(sorted(fps))))
+
+
+def _groups(fps):
+    out = {}
+    for x, c in zip(fps, classes(fps, fps), strict=True):
+        out.setdefault(c, set()).add(x)
+    return list(out.values())
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    x, y, z = "one two three four five six", "seven eight nine ten eleven twelve", "other words that nothing else has here"
+    docs = spark.createDataFrame([(3, x, 1), (5, x, 2), (5, y, 3), (9, z, 4), (9, z, 4), (9, z, 5)], "_quarry_id long, text string, fp int").withColumnRenamed("_quarry_id", "doc_id")
+    kept = sorted((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect())
+    assert kept == [(3, x), (5, y), (9, z)]
+    odd = docs.withColumnsRenamed({"fp": "component_id"}).withColumn("digest", F.lit("d")).withColumn("root", F.lit(None).cast("string"))
+    out = simhash.deduplicate(odd)
+    assert out.columns == odd.columns and out.count() == 3
+    assert simhash.deduplicate(odd.limit(0)).collect() == []
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
