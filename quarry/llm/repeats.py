@@ -13,12 +13,16 @@ are repeated.  Only of the others, at the edges of what is repeated, bytes are
 moved: distinct segments of one minimizer meet in a task, which orders their
 windows by most-significant-digit passes of 8 bytes, dropping a window as soon
 as it is alone in its group.  A minimizer with more than `split_above` distinct
-segments is too much for one task.  There the next digit is the stretch around
-the minimizer that a sixth of the window's possible places have in common:
-segments are split by places, parts of equal stretches are counted with a
-combine before the shuffle, and those neither alone nor all equal are split
-again, until a stretch is the whole window.  No task sees a large group, and a
-pass makes a few rows of a segment, not one of each window.
+segments is too much for one task.  Its segments are put in order over the whole
+cluster, once by what stands right of the minimizer and once by what stands left
+of it, and each run of `chunk` neighbours is radix-sorted by itself.  A window
+found there is repeated.  The longest context that a segment shares with any
+other on either side is that of a neighbour in these orders, so windows that
+reach beyond both are alone.  Windows that neither settles are few: they are
+looked up among all windows of their minimizers, or, should they be many, their
+minimizers' segments are split by stretches around the minimizer, which are
+counted with a combine before the shuffle and split again where neither alone
+nor all equal.  No task sees a large group.
 
 Copies of a text are combined before anything is counted.  Texts cross the
 network once, compressed; those with edges to resolve are kept for a second,
@@ -46,6 +50,10 @@ SPLIT_ABOVE = 256
 #: Parts that a pass makes of a crowded minimizer's windows, and tasks among which one stretch is dealt.
 WAYS = 6
 SALTS = 16
+#: Neighbouring segments of a crowded minimizer that are radix-sorted together.
+CHUNK = 256
+#: Windows looked up by a broadcast of their 8-byte hashes; if more are open, segments are split by stretches instead.
+MOST_OPEN = 1 << 18
 BLOCK = 4 << 20
 
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,28 +198,27 @@ def _solved(key, dig, runs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(dig, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["key", "dig", "runs"])
 
 
+def _repeated_in(rows: list[dict], depth: int) -> list[list[int]]:
+    """The windows of every row (key, dig, times, pre, n, bytes) that another of these rows has, as runs of offsets."""
+    raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+    size = np.array([len(r["bytes"]) for r in rows])
+    n = np.array([r["n"] for r in rows])
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(rows)), n)
+    offset = np.arange(owner.size) - np.repeat(np.cumsum(n) - n, n)
+    # Windows can only be equal if their minimizer is as far into them.
+    numbers = {k: i for i, k in enumerate(dict.fromkeys(r["key"] for r in rows))}
+    group = np.array([numbers[r["key"]] for r in rows])[owner] * (2 * depth) + np.array([r["pre"] for r in rows])[owner] - offset
+    same = radix_equal(raw, group, begin[owner] + offset, depth)
+    bounds = np.cumsum(n)
+    return [[0, r["n"]] if r["times"] > 1 else _runs(np.flatnonzero(same[b - r["n"] : b])) for r, b in zip(rows, bounds.tolist(), strict=True)]
+
+
 def _sorter(depth: int):
     """Rows (key, dig, times, pre, n, bytes) sorted by key -> the repeated windows of every segment, as runs of offsets."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        size = np.array([len(r["bytes"]) for r in rows])
-        n = np.array([r["n"] for r in rows])
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(rows)), n)
-        offset = np.arange(owner.size) - np.repeat(np.cumsum(n) - n, n)
-        # Windows can only be equal if their minimizer is as far into them.
-        numbers = {k: i for i, k in enumerate(dict.fromkeys(r["key"] for r in rows))}
-        group = np.array([numbers[r["key"]] for r in rows])[owner] * (2 * depth) + np.array([r["pre"] for r in rows])[owner] - offset
-        same = radix_equal(raw, group, begin[owner] + offset, depth)
-        bounds = np.cumsum(n)
-        runs = []
-        for i, r in enumerate(rows):
-            if r["times"] > 1:
-                runs.append([0, r["n"]])
-            else:
-                runs.append(_runs(np.flatnonzero(same[bounds[i] - n[i] : bounds[i]])))
-        return _solved([r["key"] for r in rows], [r["dig"] for r in rows], runs)
+        return _solved([r["key"] for r in rows], [r["dig"] for r in rows], _repeated_in(rows, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -227,6 +234,167 @@ def _sorter(depth: int):
     return run
 
 
+# ---- crowded minimizers
+
+_NEAR = "key long, dig long, runs array<int>, left int, right int, times long, pre int, n int, bytes binary"
+_NEAR_ARROW = pa.schema([("key", pa.int64()), ("dig", pa.int64()), ("runs", pa.list_(pa.int32())), ("left", pa.int32()), ("right", pa.int32()), ("times", pa.int64()), ("pre", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+
+
+def _shared(parts: list[bytes]) -> np.ndarray:
+    """The longer of the beginnings that each part shares with the one before and the one after."""
+    size = np.array([len(x) for x in parts])
+    out = np.zeros(size.size, np.int64)
+    if size.size > 1 and size.max():
+        width = int(size.max())
+        m = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width)
+        other = m[1:] != m[:-1]
+        common = np.minimum(np.where(other.any(1), other.argmax(1), width), np.minimum(size[1:], size[:-1]))
+        out[1:] = common
+        out[:-1] = np.maximum(out[:-1], common)
+    return out
+
+
+def _neighbours(depth: int, chunk: int):
+    """Rows (key, dig, times, pre, n, bytes) in an order -> repeated windows among neighbours, and the contexts shared with the next ones.
+
+    Rows at the ends of a partition carry their bytes on: their other neighbours are in another one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        began = False
+
+        def solve(last: bool) -> pa.RecordBatch:
+            nonlocal began
+            left, right = _shared([r["bytes"][: r["pre"]][::-1] for r in held]), _shared([r["bytes"][r["pre"] :] for r in held])
+            ends = {0} if not began else set()
+            ends |= {len(held) - 1} if last else set()
+            began = True
+            rows = [(r["key"], r["dig"], w, a, b, r["times"], r["pre"], r["n"], r["bytes"] if i in ends else None) for i, (r, w, a, b) in enumerate(zip(held, _repeated_in(held, depth), left.tolist(), right.tolist(), strict=True))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NEAR_ARROW, strict=True)], schema=_NEAR_ARROW)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["key"] != held[-1]["key"]:
+                    yield solve(False)
+                    held = []
+                elif len(held) >= chunk:
+                    yield solve(False)
+                    held = held[-1:]  # whose other neighbour is next
+                held.append(r)
+        if held:
+            yield solve(True)
+
+    return run
+
+
+def _opener(depth: int):
+    """Rows (key, dig, times, pre, n, runs, left, right) -> (key, dig, runs, open): open windows may be repeated, but no neighbour has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, rest = [], []
+            for r in batch.to_pylist():
+                known = np.zeros(r["n"], bool)
+                for a, b in zip(r["runs"][::2], r["runs"][1::2], strict=True):
+                    known[a:b] = True
+                may = np.zeros(r["n"], bool)
+                may[max(0, r["pre"] - r["left"]) : max(0, min(r["n"], r["pre"] + r["right"] - depth + 1))] = True
+                runs.append(_runs(np.flatnonzero(known)))
+                rest.append(_runs(np.flatnonzero(may & ~known)))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind), pa.array(rest, kind)], names=["key", "dig", "runs", "open"])
+
+    return run
+
+
+_WINDOW = "key long, dig long, times long, at int, place int, window binary"
+
+
+def _asker(depth: int):
+    """Rows (key, dig, times, pre, n, bytes, open) -> a row for each open window; place: its bytes before the minimizer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["key"], r["dig"], r["times"], w, r["pre"] - w, r["bytes"][w : w + depth]) for r in batch.to_pylist() for a, b in zip(r["open"][::2], r["open"][1::2], strict=True) for w in range(a, b)]
+            if rows:
+                yield _windows_of(rows)
+
+    return run
+
+
+def _windows_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _WINDOW.split(", ")])
+
+
+def _answerer(depth: int, shared):
+    """Rows (key, dig, times, pre, n, bytes) -> those of their windows that were asked for, by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = frozenset(shared.value.tolist())
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                raw = r["bytes"]
+                rows += [(r["key"], r["dig"], r["times"], w, r["pre"] - w, raw[w : w + depth]) for w in range(r["n"]) if _name(raw[w : w + depth]) in asked]
+            if rows:
+                yield _windows_of(rows)
+
+    return run
+
+
+def _name(window: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(window)
+
+
+def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = np.unique(np.array([_name(x.as_py()) for x in batch.column(0)], np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])
+
+
+def _crowded(edges: DataFrame, depth: int, gram: int, chunk: int, most_open: int) -> DataFrame:
+    """Edges (key, dig, times, pre, n, bytes) of crowded minimizers -> key, dig, runs of repeated windows."""
+    spark = edges.sparkSession
+    columns = edges.columns
+    left = F.reverse(F.hex(F.substring("bytes", F.lit(1), F.col("pre"))))
+    right = F.substring("bytes", F.col("pre") + 1, F.lit(depth))
+    looks = []
+    for order in (["key", "_left", "_right"], ["key", "_right", "_left"]):
+        ranged = edges.withColumn("_left", left).withColumn("_right", right).repartitionByRange(*order).sortWithinPartitions(*order)
+        looked = materialize(ranged.select(columns).mapInArrow(_neighbours(depth, chunk), _NEAR), "neighbours")
+        # Two rows of each partition meet in one task.
+        ends = looked.filter(F.col("bytes").isNotNull()).select(columns).withColumn("_left", left).withColumn("_right", right)
+        ends = ends.repartition(1).sortWithinPartitions(*order).select(columns)
+        looks += [looked, ends.mapInArrow(_neighbours(depth, chunk), _NEAR)]
+    every = reduce(DataFrame.unionByName, [x.drop("bytes") for x in looks])
+    firsts = [F.first(c).alias(c) for c in ("times", "pre", "n")]
+    met = every.groupBy("key", "dig").agg(*firsts, F.flatten(F.collect_list("runs")).alias("runs"), F.max("left").alias("left"), F.max("right").alias("right"))
+    known = materialize(met.mapInArrow(_opener(depth), "key long, dig long, runs array<int>, open array<int>"), "known")
+    answers = known.select("key", "dig", "runs")
+    open_ = known.filter(F.size("open") > 0).select(F.col("key").alias("_key"), F.col("dig").alias("_dig"), "open")
+    if open_.isEmpty():
+        return answers
+    keys = open_.select("_key").distinct()
+    among = materialize(edges.join(keys, F.col("key") == F.col("_key"), "left_semi"), "among")
+    asked = among.join(open_, (F.col("key") == F.col("_key")) & (F.col("dig") == F.col("_dig"))).select(*columns, "open").mapInArrow(_asker(depth), _WINDOW)
+    asked = materialize(asked, "asked")
+    if asked.limit(most_open + 1).count() > most_open:
+        more = _split_further(among, depth, gram)
+    else:
+        names = asked.select("window").mapInArrow(_namer, "name long").distinct().collect()
+        shared = spark.sparkContext.broadcast(np.array([r.name for r in names], np.int64).view(np.uint64))
+        found = among.mapInArrow(_answerer(depth, shared), _WINDOW)
+        twice = found.groupBy("key", "place", "window").agg(F.sum("times").alias("_c")).filter("_c > 1").select(F.col("key").alias("_key"), F.col("place").alias("_place"), F.col("window").alias("_window"))
+        repeated = asked.join(twice, (F.col("key") == F.col("_key")) & (F.col("place") == F.col("_place")) & (F.col("window") == F.col("_window")), "left_semi")
+        more = repeated.groupBy("key", "dig").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
+    both = answers.unionByName(more)
+    return both.groupBy("key", "dig").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
 _PIECE = "key long, dig long, times long, off int, pre int, n int, lo int, hi int, bytes binary"
 _SPLIT = f"{_PIECE}, s1 long, s2 long, b1 long, b2 long"
 
@@ -371,7 +539,7 @@ def _last_look(depth: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, split_above: int = SPLIT_ABOVE, chunk: int = CHUNK, most_open: int = MOST_OPEN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans for every row of docs (doc_id, text).
 
     A byte is removed if a string of `depth` bytes that covers it starts
@@ -402,8 +570,8 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, spli
     few = edges.join(crowded, F.col("key") == F.col("_key"), "left_anti").select(columns)
     solved = few.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(depth), _SOLVED)
     if not crowded.isEmpty():
-        many = edges.join(crowded, F.col("key") == F.col("_key"), "left_semi").select(columns)
-        solved = solved.unionByName(_split_further(many, depth, gram))
+        many = materialize(edges.join(crowded, F.col("key") == F.col("_key"), "left_semi").select(columns), "many")
+        solved = solved.unionByName(_crowded(many, depth, gram, chunk, most_open))
     solved = materialize(solved.filter(F.size("runs") > 0).withColumnsRenamed({"key": "_key", "dig": "_dig"}), "solved")
 
     left = looked.filter(F.col("z").isNotNull())

@@ -41,13 +41,13 @@ def planted(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("split_above,block", [(256, 4 << 20), (3, 1 << 9)])
-def test_planted(spark, monkeypatch, split_above, block):
+@pytest.mark.parametrize("split_above,block,how", [(256, 4 << 20, {}), (3, 1 << 9, {}), (3, 1 << 9, {"chunk": 2}), (3, 1 << 9, {"chunk": 2, "most_open": 0})])
+def test_planted(spark, monkeypatch, split_above, block, how):
     monkeypatch.setattr(repeats, "BLOCK", block)
     texts = planted()
     ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n_bytes string").repartition(3)
-    got = Counter(tuple(r) for r in repeats.repeated_windows(df, split_above=split_above).drop("spans").collect())
+    got = Counter(tuple(r) for r in repeats.repeated_windows(df, split_above=split_above, **how).drop("spans").collect())
     assert got == Counter((i, *x) for i, x in zip(ids, brute(texts), strict=True))
 
 
