@@ -1,23 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-Both hold the same common words; the toxic one adds the segments (words
-and word beginnings) that toxic documents have significantly more often than
-ordinary ones, the other as many bytes of further ordinary words.  A window of words that compresses better with the toxic dictionary
-than with the ordinary one speaks for toxicity: the bytes saved, over the whole
-text and in its best window, are calibrated to a probability by a logistic fit
-on labelled documents that the dictionaries haven't seen (FOLDS folds, each
-with dictionaries of the others).  How significant a segment must be is decided
-on the same folds.
-
-The fit uses at most `per_class` labelled documents of each class, and of each
-at most FIT_BYTES of text; scoring reads whole texts, window by window, and
-nothing is shuffled.
+zstandard dictionaries are trained on the windows of ordinary text, which both
+sides share, on what is toxic documents' own, and on what is ordinary
+documents' own.  A window of words that compresses better with the toxic
+dictionary than with the ordinary one speaks for toxicity: the bytes saved,
+over the whole text, in its best window and in its three best, are calibrated
+to a probability by a logistic fit on labelled documents that the dictionaries
+haven't seen (FOLDS folds, each with dictionaries of the others).
+
+Samples for a class's own dictionary are its documents, less the words that
+aren't at least `ratio` times as frequent there as in the other class; the
+trainer picks from them.  The same folds decide on the ratio.
+
+The fit uses at most `per_class` labelled documents of each class, whole;
+scoring reads whole texts, window by window, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import random
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,18 +35,19 @@ from .common import held_out, table, trainable
 
 #: Labelled documents of either class to learn from.
 PER_CLASS = 2400
-#: Of a text, what the fit reads at most; scoring has no such limit.
-FIT_BYTES = 16_384
 #: Words in a window.
-WINDOW = 64
+WINDOW = 16
 THRESHOLD = 0.3
-COMMON_BYTES = 5_000
-MOST_SEGMENTS = 400
-#: A segment is toxic if its share of toxic documents is this many standard errors above that of ordinary ones; the folds decide which.
-LEAST_Z = (10.0, 7.0, 5.0)
-#: Toxic documents that must have it.
-LEAST_DOCUMENTS = 5
-FOLDS = 5
+#: Bytes of the dictionary that both sides share and of the one that either has for itself, and of the segments they are built of.
+SHARED_BYTES, OWN_BYTES = 16_000, 700
+SHARED_SEGMENT, OWN_SEGMENT = 16, 10
+#: Windows of ordinary text that the shared dictionary is trained on, and of one document.
+MOST_WINDOWS, WINDOWS_EACH = 20_000, 60
+#: How many times as frequent as in the other class a word of a class's own samples is; the folds decide which.
+RATIOS = (4.0, 8.0, 32.0)
+FOLDS = 4
+#: Pull of the calibration's weights to zero.
+RIDGE = 0.5
 _SOFT = 100.0
 _SPACES = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -54,75 +59,77 @@ def windows(text: bytes, words: int = WINDOW) -> Iterator[bytes]:
         yield b" " + b" ".join(own[a : a + words]) + b" "
 
 
-def _segments(text: bytes) -> set[bytes]:
-    """A text's words with the spaces around, and their beginnings of 4 to 8 bytes with the space before."""
-    out = set()
-    for w in set(text.lower().translate(_SPACES).split()):
-        w = b" " + w
-        out.add(w + b" ")
-        out.update(w[:k] for k in range(5, min(len(w), 9) + 1))
-    return out
-
-
-def _documents(texts: list[bytes], known: set[bytes] | None = None) -> Counter:
-    """How many of the texts have a segment; with `known`, only words and the segments in it."""
-    out: Counter = Counter()
-    for x in texts:
-        own = _segments(x)
-        out.update(own if known is None else (s for s in own if s.endswith(b" ") or s in known))
-    return out
-
-
-def _typical(own: Counter, n_own: int, other: Counter, n_other: int, least_z: float, most: int) -> list[bytes]:
-    """Segments that documents of one class have more often than the other's, the most telling first, none within another."""
-    scored = []
-    for s, a in own.items():
-        b = other.get(s, 0)
-        share = (a + b) / (n_own + n_other)
-        z = (a / n_own - b / n_other) / math.sqrt(share * (1 - share) * (1 / n_own + 1 / n_other) + 1e-12)
-        if z >= least_z:
-            scored.append((z * math.log(len(s)), s))
-    out: list[bytes] = []
-    for _, s in sorted(scored, reverse=True):
-        if not any(s.startswith(o) or o.startswith(s) and 2 * own[o] >= own[s] for o in out):
-            out.append(s)
-            if len(out) == most:
-                break
-    return out
+#: What stands between a trained dictionary's entropy tables and its content: the offsets 1, 4 and 8.
+_OFFSETS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a zstandard dictionary of these samples: at most `size` bytes, in segments of about `segment`.
+
+    Samples that fit in as they are, or are too few for the trainer, are the dictionary themselves.
+    """
+    import zstandard as z
+
+    whole = b"".join(sorted(set(samples)))
+    if len(whole) <= size:
+        return whole
+    try:
+        # The entropy tables are left out: they are of windows, not of words, and weigh on every literal.
+        return z.train_dictionary(size + 400, samples, k=segment, d=6, steps=1).as_bytes().rpartition(_OFFSETS)[2][-size:]
+    except z.ZstdError:
+        return whole[:size]
 
 
 class Model:
-    """Dictionaries and calibration."""
+    """Dictionaries and calibration.  `learned` is False where there were too few labels: all scores are the same then."""
 
     def __init__(self, toxic: list[list[bytes]], ordinary: list[list[bytes]]):
         """toxic, ordinary: texts in folds.  Each fold is calibrated with dictionaries of the others; those that stay are of all.
 
-        The least z is the one of LEAST_Z at which folds that neither the
+        The ratio is the one of RATIOS at which folds that neither the
         dictionaries nor the calibration have seen come out most probable.
         """
         every = range(len(toxic))
-        has_t = [_documents(x) for x in toxic]
-        known = {s for s, n in sum(has_t, Counter()).items() if n >= LEAST_DOCUMENTS}
-        has_t = [Counter({s: n for s, n in c.items() if s in known}) for c in has_t]
-        has_o = [_documents(x, known) for x in ordinary]
-
-        def learn(folds: list[int], least_z: float) -> None:
-            n_t, n_o = (max(1, sum(len(x[k]) for k in folds)) for x in (toxic, ordinary))
-            self._dictionaries(sum((has_t[k] for k in folds), Counter()), n_t, sum((has_o[k] for k in folds), Counter()), n_o, least_z)
-
+        self.learned = min(sum(map(len, toxic)), sum(map(len, ordinary))) >= len(toxic)
+        self.dictionaries, self.ratio, self.weights = (b"", b""), RATIOS[0], self._calibrate(np.zeros((0, 3)), np.zeros(0))
+        if not self.learned:
+            warnings.warn("toxicity: too few labelled documents to learn from; all texts get the same score", stacklevel=2)
+            return
+        words = [[[sorted(set(x.lower().translate(_SPACES).split())) for x in fold] for fold in c] for c in (toxic, ordinary)]
+        count = [[Counter(w for d in fold for w in d) for fold in c] for c in words]
+
+        def learn(folds: list[int], ratio: float, shared: bytes) -> tuple[bytes, bytes]:
+            n = [sum((c[k] for k in folds), Counter()) for c in count]
+            size = [max(1, sum(len(c[k]) for k in folds)) for c in words]
+            own = []
+            for c, o in ((0, 1), (1, 0)):
+                # One more of each, so that a word of a single document isn't typical of its class.
+                typical = {w for w, k in n[c].items() if k + 1 >= ratio * (n[o].get(w, 0) * size[c] / size[o] + 1)}
+                samples = [b" " + b" ".join(kept) + b" " for k in folds for d in words[c][k] if (kept := [w for w in d if w in typical])]
+                own.append(trained(samples, OWN_BYTES, OWN_SEGMENT))
+            return tuple(shared + x.ljust(max(map(len, own))) for x in own)
+
+        def shared(folds: list[int]) -> bytes:
+            dice = random.Random(17)
+            each = [dice.sample(w, min(len(w), WINDOWS_EACH)) for k in folds for x in ordinary[k] for w in [list(windows(x))]]
+            flat = [w for d in each for w in d]
+            return trained(dice.sample(flat, min(len(flat), MOST_WINDOWS)), SHARED_BYTES, SHARED_SEGMENT)
+
+        others = [[i for i in every if i != k] for k in every]
+        bases = [shared(f) for f in others]
         best = math.inf
-        for least_z in LEAST_Z:
+        for ratio in RATIOS:
             parts = []
             for k in every:
-                learn([i for i in every if i != k], least_z)
+                self.dictionaries = learn(others[k], ratio, bases[k])
                 pair = self.compressors()
                 x = [self.features(t, *pair) for t in (*toxic[k], *ordinary[k])]
-                parts.append((np.array(x, np.float64).reshape(-1, 2), np.repeat([1.0, 0.0], [len(toxic[k]), len(ordinary[k])])))
+                parts.append((np.array(x, np.float64).reshape(-1, 3), np.repeat([1.0, 0.0], [len(toxic[k]), len(ordinary[k])])))
             loss = self._loss(parts)
             if loss < best:
-                best, self.least_z = loss, least_z
+                best, self.ratio = loss, ratio
                 self.weights = self._calibrate(*map(np.concatenate, zip(*parts)))
-        learn(list(every), self.least_z)
+        self.dictionaries = learn(list(every), self.ratio, shared(list(every)))
 
     def _loss(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> float:
         """Log loss of every part under the calibration on the others."""
@@ -133,17 +140,6 @@ class Model:
             loss += float((np.logaddexp(0, z) - y * z).sum())
         return loss
 
-    def _dictionaries(self, count_t: Counter, n_t: int, count_o: Counter, n_o: int, least_z: float) -> None:
-        """count_t, count_o: documents of either class that have a segment."""
-        count_t = Counter({s: n for s, n in count_t.items() if n >= LEAST_DOCUMENTS})
-        words_o = {s: n for s, n in count_o.items() if s.endswith(b" ")}
-        common = sorted((s for s, n in words_o.items() if len(s) > 4 and n >= 5), key=lambda s: (-words_o[s], s))
-        joined = b"".join(common)
-        base, rest = joined[:COMMON_BYTES], joined[COMMON_BYTES:]
-        typical_t = b"".join(_typical(count_t, n_t, count_o, n_o, least_z, MOST_SEGMENTS))
-        # What toxic text has as often as ordinary text must not be in one dictionary only: the rest is ordinary words by number of documents.
-        self.dictionaries = base + typical_t, base + rest.ljust(len(typical_t))[: len(typical_t)]
-
     def compressors(self):
         """compress functions of the toxic and the ordinary dictionary; frames carry nothing but the data."""
         import zstandard as z
@@ -154,30 +150,29 @@ class Model:
                 content = content.ljust(8)
             how = z.ZstdCompressionParameters.from_level(
                 3, source_size=256, dict_size=len(content), format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
-                strategy=z.STRATEGY_BTOPT, min_match=3, search_log=4, window_log=13, hash_log=12, chain_log=12,
+                strategy=z.STRATEGY_BTOPT, min_match=3, search_log=4, window_log=16, hash_log=14, chain_log=14,
             )
             out.append(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress)
         return out
 
     @staticmethod
-    def features(text: bytes, toxic, ordinary) -> tuple[float, float]:
-        """Bytes saved per byte in the whole text, and in its best window."""
-        saved, size, best = 0, 0, -1.0
+    def features(text: bytes, toxic, ordinary) -> tuple[float, float, float]:
+        """Bytes saved per byte in the whole text, bytes saved in its best window, and in its three best."""
+        gains, size = [], 0
         for w in windows(text):
-            gain = len(ordinary(w)) - len(toxic(w))
-            saved += gain
+            gains.append(len(ordinary(w)) - len(toxic(w)))
             size += len(w)
-            best = max(best, gain / (len(w) + _SOFT))
-        return saved / (size + _SOFT), best
+        top = heapq.nlargest(3, gains)
+        return sum(gains) / (size + _SOFT), float(top[0]), float(sum(top))
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if not len(x):
-            return np.array([-1.0, 0.0, 0.0, 0.0])
+            return np.array([-1.0, 0.0, 0.0, 0.0, 0.0])
         a = self._expand(x)
         w = np.zeros(a.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(a.shape[1]), a.T @ (y - p) - 1e-3 * w)
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(a.shape[1]), a.T @ (y - p) - RIDGE * w)
             w += step
             if np.abs(step).max() < 1e-9:
                 break
@@ -185,7 +180,7 @@ class Model:
 
     @staticmethod
     def _expand(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(x)), 100 * x[:, 0], 100 * x[:, 1], 100 * np.maximum(0, x).prod(1) ** 0.5])
+        return np.column_stack([np.ones(len(x)), 100 * x[:, 0], x[:, 1] / 4, x[:, 2] / 8, 5 * np.maximum(0, x[:, :2]).prod(1) ** 0.5])
 
     def shift(self, log_odds: float) -> None:
         self.weights[0] += log_odds
@@ -214,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     for kind in (0, 1):
         chosen += known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     sample = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "_id long, _toxic int")
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, FIT_BYTES).alias("raw"))
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     texts: dict[int, tuple[int, bytes]] = {}
     for r in rows.toLocalIterator():
         raw = bytes(r.raw)
@@ -239,10 +234,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The rows of docs with `_quarry_score`: the probability that a text is toxic, from all of the text.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "_quarry_score") -> DataFrame:
+    """The columns `keep` (all) of docs with `name`: the probability that a text is toxic, from all of the text.
 
-    Null and empty texts have one window without words.  Every row is scored by itself.
+    Null and empty texts have one window without words.  Every row is scored by
+    itself, so repeated and null ids don't matter; an empty table stays empty.
     """
     raw = cloudpickle.dumps(model)
     keep = docs.columns if keep is None else keep
@@ -252,15 +248,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
             scores = pa.array([own(x.as_py() or b"") for x in text], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), scores], names=[*keep, "_quarry_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), scores], names=[*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_quarry_score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
     return docs.mapInArrow(run, schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score `threshold` or more, columns as they were."""
-    return score(docs, train(docs, labels)).filter(F.col("_quarry_score") < threshold).select(*docs.columns)
+    """docs without the rows that score `threshold` or more, columns as they were, whatever their names."""
+    name = "_quarry_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name=name).filter(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

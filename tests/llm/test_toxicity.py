@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quarry.llm import toxicity
 from quarry.llm.common import held_out, table
 from pyspark.sql import functions as F
@@ -19,10 +21,14 @@ def test_held_out_quality(spark):
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "idiot " * 9, "c"), (4, "w" * 100_000, "d"), (4, "w" * 100_000, "d")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs, labels)
+    with pytest.warns(UserWarning, match="too few"):
+        model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == 5 and all(0 <= r._quarry_score <= 1 for r in rows)
-    assert toxicity.remove_toxic(docs, labels).columns == docs.columns
+    assert len({r._quarry_score for r in rows}) == 1
+    odd = docs.withColumnRenamed("score", "_quarry_score")
+    with pytest.warns(UserWarning):
+        assert toxicity.remove_toxic(odd, labels).columns == odd.columns
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
@@ -40,6 +46,17 @@ def test_labels_never_come_from_held_out_rows(spark):
     assert a.dictionaries == b.dictionaries and (a.weights == b.weights).all()
 
 
+def test_quality_on_more_rows(spark):
+    """The same on sf0.1, whose classes share most word stems: 990 rows that were never learned from."""
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    rows = toxicity.query(spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    f1 = 2 * hit / max(1, sum(r.predicted for r in rows) + sum(r.toxic for r in rows))
+    false = sum(r.predicted and not r.toxic for r in rows)
+    assert f1 > 0.6 and false <= 0.05 * len(rows), (f1, false, len(rows))
+
+
 def test_markers_of_some_toxic_documents_are_learned(spark):
     """A word in half of a hundred toxic documents and in no other is some seven standard errors off."""
     word = [f"common{chr(97 + i)}" for i in range(20)]
