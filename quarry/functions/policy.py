@@ -1,9 +1,7 @@
-"""Admission policy as Column expressions, with plain-Python twins for walking a file tree."""
+"""Admission policy as Column expressions."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,24 +64,3 @@ def looks_binary(text: Column) -> Column:
     head = F.substring(text, 1, SNIFFED)
     odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0E-\x1F\uFFFD]", ""))
     return F.contains(head, F.lit("\0")) | (F.coalesce(odd / F.nullif(F.length(head), F.lit(0)), F.lit(0.0)) > MOST_CONTROL)
-
-
-# ---- twins for single names
-
-
-def name_extension(name: str) -> str:
-    dot = name.rfind(".")
-    return name[dot:].lower() if dot > 0 else ""
-
-
-def keeps_out(name: str, directory: bool) -> bool:
-    if name in ("", ".", "..") or name.startswith("."):
-        return True
-    if directory:
-        return name in IGNORED_DIRECTORIES
-    return name.lower() in IGNORED_FILES or any(re.search(p, name, re.IGNORECASE) for p in SECRET_NAMES)
-
-
-def bytes_look_binary(head: bytes) -> bool:
-    head = head[:SNIFFED]
-    return b"\0" in head or bool(head) and sum(b < 9 or 13 < b < 32 for b in head) / len(head) > MOST_CONTROL

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed patterns: what a unit is, and what joins its segments.
 UNIT = r"[\p{L}\p{N}_]+(?:[./-]+[\p{L}\p{N}_]+)*"
 SEPARATOR = r"[./-]+"
 #: What counts as white space, the same everywhere (Java's \s is ASCII only).
@@ -19,9 +20,11 @@ MOST_TOKENS = 20_000
 
 # Function words, kept in the index and ignored in queries.
 STOP_WORDS = (
-    "a about after all also an and any are as at be been but by can do does for from had has have how i if in into is it its me my no not of on or our out so that the "
-    "their them then there these they this to up use was we were what when where which who why will with you your"
-).split()
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "do", "does", "for", "from", "had", "has",
+    "have", "how", "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of", "on", "or", "our", "out", "so", "that", "the", "their", "them",
+    "then", "there", "these", "they", "this", "to", "up", "use", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you",
+    "your",
+)
 
 
 def units(text: Column) -> Column:
@@ -40,10 +43,12 @@ def is_compound(term: Column) -> Column:
 def identifier_parts(segment: Column) -> Column:
     """Lower-case parts of a camelCase, snake_case or lettered-and-numbered name; none if it has but one."""
     spaced = segment
+    # Fixed patterns: where a name is cut.
     for pattern in (r"([\p{Ll}\p{N}])(\p{Lu})", r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})"):
         spaced = F.regexp_replace(spaced, pattern, "$1 $2")
     parts = F.filter(F.split(F.lower(spaced), r"[_\s]+"), lambda p: p != "")
-    return F.filter(parts, lambda p: F.size(parts) > 1)
+    # Bound to a variable, so that the parts are made once.
+    return F.get(F.transform(F.array(parts), lambda own: F.when(F.size(own) > 1, own).otherwise(F.array().cast("array<string>"))), 0)
 
 
 def stem(term: Column) -> Column:
@@ -51,8 +56,13 @@ def stem(term: Column) -> Column:
     bare = term
     for pattern, to in ((r"^(.{2,})ies$", "$1y"), (r"^(.*[^s])s$", "$1"), (r"^(.{3,})(?:ing|ed)$", "$1"), (r"^(.{4,})e$", "$1")):
         bare = F.regexp_replace(bare, pattern, to)
-    able = (F.length(term) >= 4) & ~F.rlike(term, F.lit("[0-9]"))
-    return F.when(able & (F.length(bare) >= 3) & (bare != term), bare)
+    # Most terms end in none of the suffixes and need none of the patterns.
+    able = F.rlike(term, F.lit("(?:s|ing|ed|e)$")) & (F.length(term) >= 4) & ~F.rlike(term, F.lit("[0-9]"))
+    return F.when(able, F.get(F.transform(F.array(bare), lambda own: F.when((F.length(own) >= 3) & (own != term), own)), 0))
+
+
+#: A unit that is one word: it has neither segments nor parts.
+PLAIN = r"^\p{L}[\p{Ll}\p{Lo}\p{Lm}]*$"
 
 
 def unit_terms(unit: Column) -> Column:
@@ -65,7 +75,8 @@ def unit_terms(unit: Column) -> Column:
         parts = F.flatten(F.transform(F.filter(identifier_parts(segment), lambda p: p != word), lambda p: F.array(p, stem(p))))
         return F.concat(F.array(word, stem(word)), parts)
 
-    return F.filter(F.concat(whole, F.flatten(F.transform(own, of))), lambda t: t.isNotNull())
+    plain = F.array(F.lower(unit), stem(F.lower(unit)))
+    return F.filter(F.when(F.rlike(unit, F.lit(PLAIN)), plain).otherwise(F.concat(whole, F.flatten(F.transform(own, of)))), lambda t: t.isNotNull())
 
 
 def tokenize(text: Column, most: int = MOST_TOKENS) -> Column:
@@ -82,10 +93,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def bound_section(text: Column, most: int = 200) -> Column:
-    return F.substring(collapse(text), 1, most)
-
-
 def fingerprint(content: Column) -> Column:
     """Identity of near-equal contents: digest of the first 400 characters, lower case, spaces collapsed."""
     return F.sha2(F.substring(collapse(F.lower(content)), 1, 400), 256)

@@ -27,8 +27,10 @@ _GRAPHEME = regex.compile(r"\X")
 HIDDEN = ("script", "style", "template", "noscript", "svg", "math")
 # Elements that end a run of text.
 BLOCK_LEVEL = (
-    "address article aside blockquote br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul"
-).split()
+    "address", "article", "aside", "blockquote", "br", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr",
+    "ul",
+)
 # Named entities.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "copy": "©", "reg": "®", "trade": "™"}
 # Fixed pattern: a source line that opens a declaration.

@@ -26,6 +26,12 @@ class Index:
     average: float
     version: int = 1
     limits: tuple[str, ...] = ()
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Let go of what is cached, when no search reads this version any more."""
+        for df in self.cached:
+            df.unpersist()
 
     def usable(self) -> bool:
         return self.n > 0
@@ -96,7 +102,7 @@ def build(chunks: DataFrame, max_terms: int | None = None, version: int = 1, kee
     row = sized.agg(F.count("*"), F.sum("length")).first()
     n = row[0]
     stats = sized.join(norms(postings, terms, n), "chunk_pos", "left").select("chunk_pos", "length", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm"))
-    return Index(chunks, postings, terms, stats, n, (row[1] or 0.0) / n if n else 0.0, version, limits)
+    return Index(chunks, postings, terms, stats, n, (row[1] or 0.0) / n if n else 0.0, version, limits, (chunks, postings, terms, sized) if keep else ())
 
 
 def stats_row(index: Index) -> DataFrame:

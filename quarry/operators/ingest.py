@@ -15,19 +15,48 @@ from quarry.functions import text as T
 MEMORY_BASE = 256
 
 
-def running(rows: DataFrame, order: list[str], value: Column, name: str, strict: bool = False) -> DataFrame:
+#: Keys that the bounds of ranges are picked from.
+SAMPLED_KEYS = 8_192
+
+
+def range_number(rows: DataFrame, order: list[str], ranges: int) -> Column:
+    """Which of at most `ranges` ranges of the order a row falls in, as a function of its key alone.
+
+    The bounds are literals, picked from the keys with the least hashes, so the
+    number is the same in whichever branch of a plan it is computed.  A key
+    with a null in it is in the first range.
+    """
+    hashed = F.xxhash64(*order)
+    keys = sorted(tuple(r) for r in rows.select(*order).dropna().orderBy(hashed, *order).limit(SAMPLED_KEYS).collect())
+    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    if not bounds:
+        return F.lit(0)
+    fields = [rows.schema[c].dataType.simpleString() for c in order]
+    kind = ", ".join(f"{c}: {t}" for c, t in zip(order, fields, strict=True))
+    literal = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, c, t in zip(bound, order, fields, strict=True)]) for bound in bounds]).cast(f"array<struct<{kind}>>")
+    key = F.struct(*[F.col(c) for c in order])
+    whole = F.lit(True)
+    for c in order:
+        whole = whole & F.col(c).isNotNull()
+    return F.when(whole, F.size(F.filter(literal, lambda b: b <= key))).otherwise(0)
+
+
+def running(rows: DataFrame, order: list[str], value: Column, name: str, strict: bool = False, ranges: int | None = None) -> DataFrame:
     """rows with `name`: the sum of `value` over all rows up to this one (before it, if strict), by `order`.
 
     Rows are dealt by ranges of the order; only one total for each range meets
     in one task.  order must be unique for the sums to be.
     """
-    ranged = rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = rows.withColumn("_value", value)
+    ranged = valued.withColumn("_part", range_number(valued, order, ranges))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(F.col("_part").alias("_p")).agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     local = ranged.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    # One row for each range.
-    return local.join(F.broadcast(totals), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_local")).drop("_value", "_part", "_local", "_p", "_before")
+    # One row for each range; a row whose range has none would be a mistake that must not go unseen.
+    found = F.when(F.col("_p").isNotNull(), F.col("_before")).otherwise(F.raise_error(F.lit("a range of rows has no total")).cast("long"))
+    return local.join(F.broadcast(totals), F.col("_part") == F.col("_p"), "left").withColumn(name, found + F.col("_local")).drop("_value", "_part", "_local", "_p", "_before")
 
 
 def first_documents(docs: DataFrame, most: int, order: str = "id") -> DataFrame:

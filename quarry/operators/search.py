@@ -68,7 +68,7 @@ def score(queries: DataFrame, index: Index, limits: SearchLimits = SearchLimits(
     terms that come later still add to those.  None admits every match.
     """
     n, algorithm = index.n, limits.algorithm
-    terms = selected_terms(queries, index).withColumn("idf", idf(F.col("df"), n, algorithm)).cache()
+    terms = selected_terms(queries, index).withColumn("idf", idf(F.col("df"), n, algorithm))
     part = F.col("weight") * F.col("idf")
     scale = terms.groupBy("query_id").agg((F.sqrt(F.sum(part * part)) if algorithm == "tfidf" else F.sum(part * (K1 + 1))).alias("scale"))
     hits = index.postings.join(_bounded(terms.select("query_id", "term", "weight", "idf", "term_rank")), "term")
@@ -98,23 +98,18 @@ def fingerprint(content: str) -> str:
 
 def merged_id(source: str, path: list, start: int, end: int, content: str) -> str:
     body = json.dumps({"source": source, "sectionPath": path, "startLine": start, "endLine": end, "content": content}, separators=(",", ":"), ensure_ascii=False)
-    # Fixed value: the prefix that marks this kind of identity.
-    return hashlib.sha256(b"doc-rag-merged-result-v1\0" + body.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return hashlib.sha256(b"quarry-merged\0" + body.encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def _merge(last: dict, match: dict, limits: SearchLimits) -> dict | None:
-    """The last result grown by a chunk whose lines touch it, if both are whole and of one section."""
-    if last["source"] != match["source"] or last["truncated"] or match.get("truncated") or last["section_path"] != match["section_path"]:
+    """The last result grown by a chunk whose lines touch it, if both are whole, of one section, and short enough together."""
+    spans = sorted([(last["start_line"], last["end_line"], last["content"]), (match["start_line"], match["end_line"], match["content"])], key=lambda s: s[0])
+    (start, middle, _), (after, end, _) = spans
+    touching = 1 <= start <= middle and middle + 1 == after <= end
+    same = all(last[k] == match[k] for k in ("source", "section_path")) and not (last["truncated"] or match.get("truncated"))
+    content = "\n".join(s[2] for s in spans)
+    if not (touching and same and units16(content) <= limits.max_content_chars):
         return None
-    if min(last["start_line"], match["start_line"]) < 1 or last["end_line"] < last["start_line"] or match["end_line"] < match["start_line"]:
-        return None
-    ahead, behind = match["end_line"] + 1 == last["start_line"], last["end_line"] + 1 == match["start_line"]
-    if not ahead and not behind:
-        return None
-    content = "\n".join((match["content"], last["content"]) if ahead else (last["content"], match["content"]))
-    if units16(content) > limits.max_content_chars:
-        return None
-    start, end = min(last["start_line"], match["start_line"]), max(last["end_line"], match["end_line"])
     return last | {"id": merged_id(last["source"], last["section_path"], start, end, content), "start_line": start, "end_line": end, "content": content}
 
 

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from quarry.config import SearchLimits
 from quarry.functions import policy as P
 from quarry.functions import text as T
-from quarry.operators import chunking, evaluate, index, ingest, search
+from quarry.operators import chunking, evaluate, index, ingest, search, store
 
+#: Queries are made of so many units from the beginning of each benchmark passage.
 QUERY_UNITS = 8
+BYTE_BUDGET = 2_000_000
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -45,7 +47,8 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.positions(chunking.chunk_corpus(ingest.distinct_texts(documents(spark, sf_dir))))
+    """The corpus in chunks with their positions; the chunker runs once, whatever reads them."""
+    return ingest.positions(store.written(chunking.chunk_corpus(ingest.distinct_texts(documents(spark, sf_dir))), "chunks"))
 
 
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +146,8 @@ def q_ingest_dedupe(s, d):
 
 
 def q_ingest_byte_budget(s, d):
-    return ingest.within_bytes(documents(s, d), 400_000).select("id", "before", "kept_bytes", "truncated")
+    """A budget over many ranges, with the texts kept."""
+    return ingest.within_bytes(documents(s, d), BYTE_BUDGET).select("id", "before", "kept_bytes", "truncated", F.md5("text").alias("text_md5"))
 
 
 def q_ingest_chunk_budget(s, d):
@@ -333,15 +337,16 @@ _PARTS = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_repla
 
 
 def _unit_terms(source: str, mark: str = "") -> str:
-    """SQL: source(key..., unit, w) -> {mark}terms(key..., term, w), by a union of the three kinds of term."""
+    """SQL: source(key..., unit, w) -> {mark}terms(key..., w, sub, term), by a union of the three kinds of term; sub orders the terms of a unit."""
     seg, words, each, terms = (mark + x for x in ("seg", "words", "each_word", "terms"))
     return f"""
-  {seg} AS (SELECT * EXCLUDE (segs), unnest(segs) AS seg, len(segs) AS n_seg FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source})),
-  {words} AS (SELECT * EXCLUDE (seg, n_seg), lower(seg) AS word, {_PARTS.format("seg")} AS parts FROM {seg}),
-  {each} AS (SELECT * EXCLUDE (word, parts), word FROM {words} UNION ALL SELECT * EXCLUDE (word, parts, own, p), p AS word FROM (SELECT *, word AS own, unnest(CASE WHEN len(parts) > 1 THEN parts ELSE [] END) AS p FROM {words}) WHERE p <> own),
-  {terms} AS (SELECT * EXCLUDE (segs), lower(unit) AS term FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source}) WHERE len(segs) > 1
+  {seg} AS (SELECT * EXCLUDE (segs), unnest(segs) AS seg, generate_subscripts(segs, 1) AS seg_at, len(segs) AS n_seg FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source})),
+  {words} AS (SELECT * EXCLUDE (seg, n_seg, seg_at), seg_at * 10000 AS sub, lower(seg) AS word, {_PARTS.format("seg")} AS parts FROM {seg}),
+  {each} AS (SELECT * EXCLUDE (word, parts), word FROM {words}
+            UNION ALL SELECT * EXCLUDE (word, parts, many, own, p, i, sub), sub + 2 * i AS sub, p AS word FROM (SELECT *, word AS own, unnest(many) AS p, generate_subscripts(many, 1) AS i FROM (SELECT *, CASE WHEN len(parts) > 1 THEN parts ELSE [] END AS many FROM {words})) WHERE p <> own),
+  {terms} AS (SELECT * EXCLUDE (segs), 0 AS sub, lower(unit) AS term FROM (SELECT *, list_filter(regexp_split_to_array(unit, '[./-]+'), lambda x: x <> '') AS segs FROM {source}) WHERE len(segs) > 1
             UNION ALL SELECT * EXCLUDE (word), word AS term FROM {each}
-            UNION ALL SELECT * FROM (SELECT * EXCLUDE (word), {_stem("word")} AS term FROM {each}) WHERE term IS NOT NULL)"""
+            UNION ALL SELECT * FROM (SELECT * EXCLUDE (word, sub), sub + 1 AS sub, {_stem("word")} AS term FROM {each}) WHERE term IS NOT NULL)"""
 
 
 _DOCS = f"docs AS (SELECT {_D} AS id, text, doc_id FROM documents)"
@@ -368,7 +373,7 @@ def _query_terms_sql() -> str:
     inner = _unit_terms("qu", "q_")
     return f"""{_WORK},
   qu AS (SELECT query_id, unnest(us) AS unit, generate_subscripts(us, 1) AS place FROM (SELECT query_id, regexp_extract_all(query, '{_UNIT}') AS us FROM work)),{inner},
-  qt AS (SELECT query_id, term, sum(CASE WHEN regexp_matches(term, '[./-]+') THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, min(place) AS ord FROM q_terms WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
+  qt AS (SELECT query_id, term, sum(CASE WHEN regexp_matches(term, '[./-]+') THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, min(place * 100000000 + sub) AS ord FROM q_terms WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
 
 
 _SELECTED = f"""{_TF}, {_query_terms_sql()},
@@ -415,7 +420,7 @@ _ORACLES: dict[str, str] = {
     "binary_sniff": f"WITH {_DOCS}, x AS (SELECT id, text FROM docs UNION ALL SELECT id || '#odd', replace(text, 'th', chr(2)) FROM docs), h AS (SELECT id, substr(text, 1, 8192) AS h FROM x) SELECT id, coalesce((length(h) - length(replace(h, chr(2), ''))) / nullif(length(h), 0), 0) > 0.05 AS \"binary\" FROM h",
     "ingest_max_documents": f"WITH {_DOCS} SELECT id FROM docs ORDER BY id LIMIT 100",
     "ingest_dedupe": f"WITH {_DOCS} SELECT min(id) AS id FROM docs WHERE trim(text, {SPACE_SQL}) <> '' GROUP BY text",
-    "ingest_byte_budget": f"WITH {_DOCS}, b AS (SELECT id, strlen(text) AS bytes, coalesce(sum(strlen(text)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs) SELECT id, before, least(bytes, 400000 - before)::BIGINT AS kept_bytes, bytes > 400000 - before AS truncated FROM b WHERE before < 400000",
+    "ingest_byte_budget": f"WITH {_DOCS}, b AS (SELECT id, text, strlen(text) AS bytes, coalesce(sum(strlen(text)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs) SELECT id, before, least(bytes, {BYTE_BUDGET} - before)::BIGINT AS kept_bytes, bytes > {BYTE_BUDGET} - before AS truncated, md5(text) AS text_md5 FROM b WHERE before < {BYTE_BUDGET}",
     "ingest_chunk_budget": f"WITH {_CHUNKS} SELECT chunk_pos, id FROM chunks WHERE chunk_pos < 150",
     "ingest_memory_budget": f"WITH {_CHUNKS}, m AS (SELECT chunk_pos, sum(2 * length(content) + 2 * length(source) + 256) OVER (ORDER BY chunk_pos)::BIGINT AS estimate FROM chunks) SELECT * FROM m WHERE estimate <= 500000",
     "ingest_report": f"WITH {_CHUNKS} SELECT count(DISTINCT source) AS document_count, count(*) AS chunk_count, max(length(content)) AS longest_chunk, (SELECT sum(strlen(text)) FROM docs WHERE id IN (SELECT id FROM kept))::BIGINT AS total_bytes FROM chunks",
@@ -443,6 +448,35 @@ _ORACLES |= {
 }
 
 
+_BEST = "SELECT query_id, coalesce(max(score), 0) AS best FROM work LEFT JOIN ranked USING (query_id) GROUP BY query_id"
+_ORACLES |= {
+    "selectivity_gate": f"WITH {_SELECTED} SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, ord)::INTEGER AS term_rank FROM sel",
+    "vocabulary_cap": f"""WITH {_CHUNKS},
+  vu AS (SELECT chunk_pos, unnest(us) AS unit, 1000000 * part + generate_subscripts(us, 1) AS place FROM (
+    SELECT chunk_pos, 1 AS part, regexp_extract_all(content, '{_UNIT}') AS us FROM chunks UNION ALL SELECT chunk_pos, 2, regexp_extract_all(replace(source, '/', ' '), '{_UNIT}') FROM chunks)),{_unit_terms("vu", "v_")},
+  f AS (SELECT term, min({{'c': chunk_pos, 'p': place, 's': sub}}) AS first FROM v_terms GROUP BY term),
+  r AS (SELECT term, row_number() OVER (ORDER BY first) AS rank FROM f) SELECT term, rank FROM r WHERE rank <= 2000""",
+    "candidate_cap": f"""WITH {_SELECTED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df, ord) AS term_rank FROM sel),
+  c AS (SELECT query_id, chunk_pos, row_number() OVER (PARTITION BY query_id ORDER BY min(term_rank), chunk_pos) AS place FROM o JOIN tf USING (term) GROUP BY query_id, chunk_pos) SELECT query_id, chunk_pos FROM c WHERE place <= 20""",
+    "prefix_search": _top(prefix="docs/src1"),
+    "phrase_boost": f"WITH {_scored_sql()} SELECT query_id, chunk_pos, round(score, 6) AS score FROM ranked JOIN work USING (query_id) WHERE contains(lower(content), lower(query))",
+    "relative_cutoff": f"WITH {_scored_sql()} SELECT query_id, count(*) AS kept FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ranked) WHERE score >= 0.2 AND score >= best * 0.2 GROUP BY query_id",
+    "threshold_sweep": " UNION ALL ".join(f"SELECT threshold, sum((best >= threshold)::INT)::BIGINT AS answered, '{a}' AS algorithm FROM (WITH {_scored_sql(a)} {_BEST}), (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4])::DOUBLE AS threshold) GROUP BY threshold" for a in ("bm25", "tfidf")),
+    "eval_hit_mrr_ndcg": f"""WITH {_scored_sql()},
+  top AS (SELECT query_id, source, rank FROM ranked WHERE rank <= 5),
+  rel AS (SELECT DISTINCT item_id::VARCHAR AS query_id, docs.id AS source FROM benchmark JOIN docs ON contains(docs.text, benchmark.text)),
+  firsts AS (SELECT query_id, source, min(rank) AS rank FROM top GROUP BY ALL),
+  found AS (SELECT query_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM firsts JOIN rel USING (query_id, source) GROUP BY query_id),
+  wanted AS (SELECT query_id, count(*) AS wanted FROM rel GROUP BY query_id),
+  shown AS (SELECT query_id, count(*) AS shown, count(DISTINCT source) AS sources FROM top GROUP BY query_id),
+  every AS (SELECT query_id, wanted, first, dcg, shown, sources FROM work LEFT JOIN wanted USING (query_id) LEFT JOIN found USING (query_id) LEFT JOIN shown USING (query_id))
+  SELECT query_id, CASE WHEN wanted IS NULL THEN (shown IS NULL)::INTEGER ELSE (first IS NOT NULL)::INTEGER END AS hit,
+    round(CASE WHEN wanted IS NULL THEN (shown IS NULL)::INTEGER ELSE coalesce(1 / first, 0) END, 6)::DOUBLE AS rr,
+    round(CASE WHEN wanted IS NULL THEN (shown IS NULL)::INTEGER ELSE coalesce(dcg / list_sum(list_transform(range(1, least(wanted, 5) + 1), lambda i: 1 / log2(i + 1))), 0) END, 6)::DOUBLE AS ndcg,
+    round(coalesce(sources / shown, 1), 6)::DOUBLE AS unique_sources, (wanted IS NULL AND shown IS NOT NULL)::INTEGER AS false_positive FROM every""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
