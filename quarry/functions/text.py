@@ -89,6 +89,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def blank(text: Column) -> Column:
+    """Whether there is nothing but white space; null for null."""
+    return ~F.rlike(text, F.lit(f"[^{SPACES}]"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 

@@ -22,6 +22,8 @@ from quarry.functions.text import SPACE, SPACES
 _SPACES = SPACES
 _RUN = re.compile(f"{SPACE}+")
 _GRAPHEME = regex.compile(r"\X")
+#: Characters that can be of a grapheme of several, or of two UTF-16 units; below them every character is one of both.
+_JOINING = re.compile("[\r\u0300-\U0010ffff]")
 
 # Elements whose content is never visible.
 HIDDEN = ("script", "style", "template", "noscript", "svg", "math")
@@ -260,6 +262,8 @@ READERS = {"markdown": markdown_blocks, "text": text_blocks, "html": html_blocks
 
 def pieces(text: str, most: int) -> list[str]:
     """The text cut into pieces of at most `most` units, never inside a grapheme."""
+    if not _JOINING.search(text):
+        return [text[a : a + most] for a in range(0, max(1, len(text)), most)]
     if units16(text) <= most:
         return [text]
     out, held, size = [], [], 0

@@ -66,7 +66,7 @@ def first_documents(docs: DataFrame, most: int, order: str = "id") -> DataFrame:
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """Of equal texts the document with the least id; blank texts go."""
-    keyed = docs.filter(T.strip(F.col("text")) != "").withColumn("_key", F.sha2("text", 256))
+    keyed = docs.filter(~T.blank(F.col("text"))).withColumn("_key", F.sha2("text", 256))
     # Minima are combined before the shuffle; texts stay where they are but for the join.
     first = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min("id").alias("_first"))
     return keyed.join(first, (F.col("_key") == F.col("_k")) & (F.col("id") == F.col("_first"))).drop("_key", "_k", "_first")
@@ -97,10 +97,10 @@ def within_memory(chunks: DataFrame, most: int) -> DataFrame:
 
 def skip_tally(docs: DataFrame, max_bytes: int) -> DataFrame:
     """reason, count of documents that aren't admitted; no identifiers."""
-    first = docs.filter(T.strip(F.col("text")) != "").groupBy(F.sha2("text", 256).alias("_k")).agg(F.count("*").alias("n"))
+    first = docs.filter(~T.blank(F.col("text"))).groupBy(F.sha2("text", 256).alias("_k")).agg(F.count("*").alias("n"))
     copies = first.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("count")).select(F.lit("duplicate_content").alias("reason"), "count")
     size = F.octet_length("text")
-    reasons = docs.withColumn("reason", F.when(size > max_bytes, "oversized").when((size == 0) | (T.strip(F.col("text")) == ""), "empty"))
+    reasons = docs.withColumn("reason", F.when(size > max_bytes, "oversized").when((size == 0) | T.blank(F.col("text")), "empty"))
     return reasons.filter("reason IS NOT NULL").groupBy("reason").count().unionByName(copies).filter(F.col("count") > 0)
 
 
