@@ -62,6 +62,28 @@ def test_edges_match_brute_force(spark, monkeypatch, most):
     assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
 
 
+def test_suffix_arrays_in_small_parts(spark, monkeypatch):
+    """A long text's words are cut into parts; matches over the cuts are found."""
+    import numpy as np
+
+    words = [f"w{i % 29}" for i in range(400)]
+    hashes, _, _, text = decontaminate.by_text(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))
+    block = decontaminate.Windows([(1, " ".join(words[40:70])), (2, "w3 w4"), (3, "w4 w3"), (4, "w28")])
+    items = [words[40:70], ["w3", "w4"], ["w4", "w3"], ["w28"]]
+    want = set()
+    for w in items:
+        size = min(13, len(w))
+        own = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        want |= {i + j for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in own for j in range(size)}
+    for most in (1, 7, 50, 1000):
+        mask, _, item = decontaminate.Shard(hashes, text, 13, most).matches(block)
+        assert set(np.flatnonzero(mask).tolist()) == want and sorted(item.tolist()) == [0, 1, 3]
+        array = decontaminate.SuffixArray(hashes, text, 13)
+        number = {h: i for i, h in enumerate(array.vocabulary.tolist())}
+        coded = [[number[hashes[i + k]] for k in range(len(words[i : i + 13]))] for i in array.order.tolist()]
+        assert coded == sorted(coded) and len(coded) == 400
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS) == []
     assert run(spark, DOCS, []) == brute(DOCS, [])
