@@ -98,41 +98,57 @@ def plan(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """`docs` with size, source_size, target, taken, _whole and _extra_words.
-
-    Needs doc_id, text and source; other columns pass through.  A null text has
-    no words; a null source is a source of its own, ranked last; a null id and
-    repeated ids share a bucket and are decided alike; an empty table stays
-    empty.  taken = whole repetitions times size + words of the last, partial one.
-    The plan is written to the shared folder first and counted; up to
-    BROADCAST_SOURCES sources it is broadcast, beyond that joined by shuffle.
+#: What `mix` adds to the rows.
+ADDED = ("size", "source_size", "target", "taken", "_whole", "_extra_words")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, mark: str = "") -> DataFrame:
+    """`docs` with size, source_size, target, taken, _whole and _extra_words, each name with `mark` before it.
+
+    Needs doc_id, text and source; other columns pass through, but for those
+    with one of the added names, which give way.  A null text has no words; a
+    null source is a source of its own, ranked last; a null id and repeated ids
+    share a bucket and are decided alike; an empty table stays empty.  taken =
+    whole repetitions times size + words of the last, partial one.  The plan is
+    written to the shared folder first and counted; up to BROADCAST_SOURCES
+    sources it is broadcast, beyond that joined by shuffle.
     """
-    mark = "_quarry_mix_"
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_bucket", seeded_bucket(F.col("doc_id"), seed))
-    decided = materialize(plan(sized.select("source", "_bucket", "size"), weights, share, max_epochs).withColumnRenamed("source", mark), "mix-plan")
+    inner = "_quarry_mix_"
+    while any(c.startswith(inner) for c in docs.columns if c not in {mark + x for x in ADDED}):
+        inner += "_"
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {mark + x for x in ADDED}]
+    size, bucket = f"{inner}size", f"{inner}bucket"
+    sized = docs.select(*kept, word_count(F.col("text")).alias(size), seeded_bucket(F.col("doc_id"), seed).alias(bucket))
+    decided = plan(sized.select("source", F.col(bucket).alias("_bucket"), F.col(size).alias("size")), weights, share, max_epochs)
+    decided = materialize(decided.select(*[F.col(c).alias(f"{inner}of_{c}") for c in decided.columns]), "mix-plan")
     if decided.count() <= BROADCAST_SOURCES:
         decided = F.broadcast(decided)
+    of = lambda c: F.col(f"{inner}of_{c}")
     extra = (
-        F.when(F.col("_cut").isNull() | (F.col("_bucket") > F.col("_cut")), F.lit(0))
-        .when(F.col("_bucket") < F.col("_cut"), F.col("size"))
-        .otherwise(F.floor(F.col("size") * F.col("_part") + F.lit(0.5)))
+        F.when(of("_cut").isNull() | (F.col(bucket) > of("_cut")), F.lit(0))
+        .when(F.col(bucket) < of("_cut"), F.col(size))
+        .otherwise(F.floor(F.col(size) * of("_part") + F.lit(0.5)))
         .cast("long")
     )
-    joined = sized.join(decided, F.col("source").eqNullSafe(F.col(mark)), "inner").withColumn("_extra_words", extra)
-    return joined.withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra_words")).cast("long")).drop(mark, "_cut", "_part", "_bucket")
+    joined = sized.join(decided, F.col("source").eqNullSafe(of("source")), "inner").withColumn(f"{inner}extra", extra)
+    added = (F.col(size), of("source_size"), of("target"), (of("_whole") * F.col(size) + F.col(f"{inner}extra")).cast("long"), of("_whole"), F.col(f"{inner}extra"))
+    return joined.select(*kept, *[c.alias(mark + name) for name, c in zip(ADDED, added, strict=True)])
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: documents with their columns, whole repetitions as rows, the partial one cut to its words."""
-    names = docs.columns
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_extra_words"), F.lit(1)).cast("int")), " ")
-    copies = F.concat(
-        F.array_repeat(F.lit(True), F.col("_whole").cast("int")),
-        F.when(F.col("_extra_words") > 0, F.array(F.col("_extra_words") >= F.col("size"))).otherwise(F.array().cast("array<boolean>")),
-    )
-    rows = mix(docs.select(*names), **how).withColumn("_full", F.explode(copies))
-    return rows.withColumn("text", F.when(F.col("_full"), F.col("text")).otherwise(first)).select(*names)
+    """The mix itself: documents with their columns, whole repetitions as rows, the partial one cut to its words.
+
+    Columns may have any names and come back as they were.  Edge cases are those of `mix`.
+    """
+    mark = "_quarry_own_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    size, whole, words = F.col(f"{mark}size"), F.col(f"{mark}_whole"), F.col(f"{mark}_extra_words")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(words, F.lit(1)).cast("int")), " ")
+    copies = F.concat(F.array_repeat(F.lit(True), whole.cast("int")), F.when(words > 0, F.array(words >= size)).otherwise(F.array().cast("array<boolean>")))
+    rows = mix(docs, mark=mark, **how).withColumn(f"{mark}full", F.explode(copies))
+    text = F.when(F.col(f"{mark}full"), F.col("text")).otherwise(first).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

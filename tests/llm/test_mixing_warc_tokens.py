@@ -97,3 +97,15 @@ def test_tokens_match_the_library(spark, sf, shard_ids):
 
 def test_tokens_empty(spark):
     assert repair_tokens.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_mix_with_columns_of_its_own_names(spark):
+    """Extra columns keep their values whatever they are called."""
+    rows = [(i, "a b c d e", f"s{i % 3}", 7 * i, "t", -1, "w") for i in range(60)]
+    names = ["doc_id", "text", "source", "size", "target", "taken", "source_size"]
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.repeated(docs)
+    assert out.columns == names
+    assert {tuple(r)[2:] for r in out.collect()} <= {r[2:] for r in rows}
+    assert out.count() > 0 and mixing.repeated(docs.limit(0)).collect() == []
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", *mixing.ADDED]
