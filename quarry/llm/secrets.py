@@ -10,8 +10,9 @@ Findings to learn from are the base findings of a bounded sample of documents
 (with what introduces them hidden in half the cases, so that the value itself
 has to speak) and invented tokens of public formats; the other side is the
 sample's remaining candidates and invented identifiers.  Scores are calibrated
-by a logistic fit on a part held back, and the threshold is the highest at which
-recall on that part is at least RECALL.
+by a logistic fit on a part held back; the threshold is the highest at which
+recall on another part is at least RECALL, and recall and false findings are
+measured on a third.
 
 The scan reads every text once and writes one row per document, with its
 candidates and their surroundings, to the shared folder; the network then reads
@@ -23,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +66,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Spans of token characters that no base finding touches."""
-    out, k = [], 0
-    by_end = sorted(base, key=lambda s: s[2])
+    by_start = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+    out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        while k < len(by_end) and by_end[k][2] <= a:
-            k += 1
-        if not any(s[1] < b for s in by_end[k : k + 64]):
+        k = bisect_left(starts, b)  # findings that begin before it ends
+        if not k or reach[k - 1] <= a:
             out.append((a, b))
     return out
 
@@ -132,17 +135,18 @@ class Model:
         x = _coded([*findings, *good, *others, *bad])
         y = np.concatenate([np.ones(len(findings) + len(good), np.int64), np.zeros(len(others) + len(bad), np.int64)])
         order = np.random.default_rng(seed).permutation(len(x))
-        cut = 3 * len(x) // 4
-        learn, hold = order[:cut], order[cut:]
+        # Parts of their own for learning, for calibration, for the threshold, and for measuring what that gives.
+        learn, fit, choose, measure = np.split(order, [len(x) * 6 // 10, len(x) * 7 // 10, len(x) * 85 // 100])
         self.net = ConvNet(128, 2, widths=(3, 5), filters=12)
         self.net.fit(x[learn], y[learn], epochs=6)
-        z = self.net.logits(x[hold])
-        self.fit = self._logistic(z[:, 1] - z[:, 0], y[hold])
-        p = np.sort(self.probability(x[hold][y[hold] == 1]))
-        #: The highest threshold that keeps RECALL of the findings held back.
+        z = self.net.logits(x[fit])
+        self.fit = self._logistic(z[:, 1] - z[:, 0], y[fit])
+        p = np.sort(self.probability(x[choose][y[choose] == 1]))
+        #: The highest threshold that keeps RECALL of the findings of its part.
         self.threshold = float(p[int((1 - RECALL) * p.size)]) if p.size else 1.0
-        self.recall = float((p >= self.threshold).mean()) if p.size else 0.0
-        self.false = float((self.probability(x[hold][y[hold] == 0]) >= self.threshold).mean()) if (y[hold] == 0).any() else 0.0
+        #: Share of findings over the threshold, and of others, on the part that nothing was fitted to.
+        over, own = self.probability(x[measure]) >= self.threshold, y[measure] == 1
+        self.recall, self.false = (float(over[which].mean()) if which.any() else 0.0 for which in (own, ~own))
 
     @staticmethod
     def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from quarry.llm import langid, secrets
 from quarry.llm.common import table
 
@@ -44,3 +46,21 @@ def test_base_findings(spark):
         kinds = [s for s in r.spans.split(",") if s and not s.startswith("cnn")]
         assert hashlib.sha256(",".join(kinds).encode()).hexdigest() == r.base_sha256
     assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, x string").limit(0)).collect() == []
+
+
+def test_no_cap_on_findings_before_a_candidate():
+    """One long finding reaches over seventy others and the candidate behind them."""
+    text = "token=" + "A" * 20 + "." + ".".join("0123456789abcdef" + "f" * (i % 5) for i in range(70))
+    base = secrets.base_spans(text)
+    assert len(base) > 65 and secrets.candidates(text, base) == []
+
+
+def test_texts_without_a_letter(spark):
+    rows = [(1, "½ ² Ⅷ 12"), (2, None), (3, ""), (4, "Ⅷ x"), (5, "12 ж")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = langid.Model(["aa", "bb"], [b"aaaa aaa"] * 20 + [b"bbb bbbb"] * 20, [0] * 20 + [1] * 20)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and "und" not in (got[4], got[5])
+    long = ("aaaa aaa " * 300_000).encode()
+    best, score = model.predict(np.frombuffer(long, np.uint8), np.array([0, len(long)]))
+    assert best.tolist() == [0] and score[0] > 0.5
