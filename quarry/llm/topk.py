@@ -12,13 +12,15 @@ each block.  A task sends on k rows for each query of the block; one window
 per query picks the best of all tasks.
 
 Components are turned into floor(scale * x); scores are integers, exact in
-64-bit floats while products stay below 2**53, and computed in Python integers
-beyond.
+64-bit floats while products stay below 2**53; rows and queries with components
+too large for that, and only they, are scored in Python integers.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,9 @@ class BallTree:
         self.nodes[at] = (a, b, centre, radius * (1 + 1e-9) + 1e-6, children)
         return at
 
-    def search(self, queries: np.ndarray, norms: np.ndarray, own_ids: np.ndarray, best: Best) -> None:
+    def search(self, queries: np.ndarray, norms: np.ndarray, own_ids: np.ndarray, best: Best, every: np.ndarray) -> None:
+        """Offer the queries numbered `every` what this tree has for them."""
+
         def bound(node: int, which: np.ndarray) -> np.ndarray:
             _, _, centre, radius, _ = self.nodes[node]
             value = queries[which] @ centre
@@ -113,19 +117,21 @@ class BallTree:
                 visit(first, own[near[group] >= best.kth(own)])
                 visit(second, own[far[group] >= best.kth(own)])
 
-        every = np.arange(len(queries))
         visit(0, every[bound(0, every) >= best.kth(every)])
 
 
-def _plain(vectors: list[list[int]], ids: np.ndarray, queries: list[list[int]], own_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """Scores in Python integers, held within a long: (query, id, score) of the k best."""
-    for i, q in enumerate(queries):
-        scored = sorted((-max(-_LONG - 1, min(_LONG, sum(x * y for x, y in zip(q, v, strict=True)))), int(n)) for v, n in zip(vectors, ids, strict=True) if n != own_ids[i])
-        yield from ((i, n, -s) for s, n in scored[:k])
+def _plain(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, which: np.ndarray, own_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """Scores in Python integers, held within a long: (number, id, score) of the k best of the queries numbered `which`."""
+    whole = [[int(x) for x in v] for v in vectors]
+    for i in which.tolist():
+        q = [int(x) for x in queries[i]]
+        scored = ((-max(-_LONG - 1, min(_LONG, sum(x * y for x, y in zip(q, v, strict=True)))), int(n)) for v, n in zip(whole, ids, strict=True) if n != own_ids[i])
+        yield from ((i, n, -s) for s, n in heapq.nsmallest(k, scored))
 
 
-def _width(rows: np.ndarray) -> float:
-    return float(np.abs(rows).max(initial=0.0))
+def _small(rows: np.ndarray) -> np.ndarray:
+    """Which rows have components so small that their products with one another are exact in 64-bit floats."""
+    return np.abs(rows).max(1, initial=0.0) < (_EXACT / max(1, rows.shape[1])) ** 0.5
 
 
 def _searcher(block: dict, k: int, shard: int):
@@ -142,16 +148,24 @@ def _searcher(block: dict, k: int, shard: int):
             ids, vectors = (np.concatenate(x) for x in zip(*held[d], strict=True))
             held[d].clear()
             _, own, queries, _ = block[d]
-            if d and max(_width(vectors), 1.0) * max(_width(queries), 1.0) * d < _EXACT:
-                for a in range(0, len(ids), shard):
-                    BallTree(vectors[a : a + shard], ids[a : a + shard]).search(queries, np.sqrt((queries**2).sum(1)), own, best[d])
-            else:
-                whole = [[int(x) for x in v] for v in vectors]
-                for i, n, s in _plain(whole, ids, [[int(x) for x in q] for q in queries], own, k):
-                    kept = exact.setdefault(d, {}).setdefault(i, [])
-                    kept.append((-s, n))
-                    kept.sort()
-                    del kept[k:]
+            fine, fine_queries = _small(vectors), _small(queries)
+            every, odd = np.flatnonzero(fine_queries), np.flatnonzero(~fine_queries)
+            norms = np.sqrt((queries**2).sum(1))
+            for a in range(0, len(ids), shard):
+                part = np.flatnonzero(fine[a : a + shard]) + a
+                if d and part.size and every.size:
+                    BallTree(vectors[part], ids[part]).search(queries, norms, own, best[d], every)
+            # Rows and queries with larger components are few: only they are scored one by one.
+            large = np.flatnonzero(~fine) if d else np.arange(len(ids))
+            found = [_plain(vectors[large], ids[large], queries, np.arange(len(queries)), own, k)] if large.size else []
+            if d and odd.size:
+                rest = np.flatnonzero(fine)
+                found.append(_plain(vectors[rest], ids[rest], queries, odd, own, k))
+            for i, n, s in chain(*found):
+                kept = exact.setdefault(d, {}).setdefault(i, [])
+                kept.append((-s, n))
+                kept.sort()
+                del kept[k:]
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -196,11 +210,11 @@ def _block(rows: list, first: int, seeds: dict[int, tuple[np.ndarray, np.ndarray
         floor = np.full(len(group), -np.inf)
         if d and d in seeds:
             ids, vectors = seeds[d]
-            if max(_width(vectors), 1.0) * max(_width(queries), 1.0) * d < _EXACT:
-                score = queries @ vectors.T
-                score[own[:, None] == ids[None]] = -np.inf
-                if len(ids) > k:
-                    floor = np.partition(score, -k, 1)[:, -k]
+            fine, known = _small(queries), _small(vectors)
+            if known.sum() > k:
+                score = queries[fine] @ vectors[known].T
+                score[own[fine, None] == ids[None, known]] = -np.inf
+                floor[fine] = np.partition(score, -k, 1)[:, -k]
         out[d] = (np.array([g[0] for g in group]), own, queries, floor)
     return out
 

@@ -41,3 +41,13 @@ def test_edges(spark):
     got = sorted(map(tuple, topk.search(df, df.filter("vec_id % 50 = 0")).collect()))
     assert got == brute(rows, [r for r in rows if r[0] is not None and r[0] % 50 == 0])
     assert topk.search(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_one_large_component_among_many_rows(spark):
+    """Rows and queries too large for exact floats stand beside others, which keep to the trees."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    rows[7], rows[100] = (7, [3e7] * 6), (100, [-5e9] * 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.search(df, df.filter("vec_id % 50 = 0"), shard=64).collect()))
+    assert got == brute(rows, [r for r in rows if r[0] % 50 == 0])
