@@ -4,7 +4,8 @@ Documents are dealt by ranges of doc_id and sorted, encoded, cut into shards of
 whole documents, and each shard's ids are compressed by Re-Pair: frequent pairs
 of neighbouring symbols are replaced by nonterminals, over and over.  A pass
 replaces many pairs at once, chosen by frequency such that no two of them can
-overlap, so a pass is a handful of array operations.  No rule spans the end of
+overlap, so a pass is a handful of array operations; passes go on until no pair
+is frequent.  No rule spans the end of
 a document; with the expansion length of every rule and the symbol at which
 each document starts, one document decodes without the rest of its shard.
 
@@ -45,9 +46,10 @@ MAGIC = b"RPSHARD1"
 HEAD = "<8s5I"
 #: Ids in a shard at which it is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 19
-PASSES = 3
 PAIRS_A_PASS = 256
+#: A pair is frequent from so many occurrences on, and from one in SHARE of the shard's symbols: a rule takes 12 bytes.
 LEAST_COUNT = 32
+SHARE = 2048
 #: Stands for the pair of a document's last symbol and the next document's first.
 NO_PAIR = np.uint64((1 << 64) - 1)
 #: Distinct units of text that a Python worker remembers before it starts anew.
@@ -101,21 +103,19 @@ def _chosen(codes: np.ndarray, slot: np.ndarray, base: int, most: int, least: in
     return np.sort(np.array(out, np.uint64))
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, n_base: int, passes: int = PASSES, most: int = PAIRS_A_PASS, least: int = LEAST_COUNT):
+def compress(ids: np.ndarray, ends: np.ndarray, n_base: int, most: int = PAIRS_A_PASS, least: int = LEAST_COUNT):
     """ids (uint32) of documents that end after the positions `ends` -> symbols, rules (n x 2), rule lengths, document starts."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(symbols.size, bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     n = n_base
-    for _ in range(passes):
-        if symbols.size < 2:
-            break
+    while symbols.size >= 2:
         base = n + 1
         codes = symbols[:-1].astype(np.uint64) * np.uint64(base) + symbols[1:]
         codes[last[:-1]] = NO_PAIR
         slot = _slots(codes)
-        chosen = _chosen(codes, slot, base, most, max(least, symbols.size >> 11))
+        chosen = _chosen(codes, slot, base, most, max(least, symbols.size // SHARE))
         chosen = chosen[chosen != NO_PAIR]
         if not chosen.size:
             break
