@@ -16,11 +16,15 @@ SOURCE_WEIGHT = 1.5
 
 @dataclass(frozen=True)
 class Index:
-    """An immutable version of the index; n and average are two numbers on the driver."""
+    """An immutable version of the index; n and average are two numbers on the driver.
+
+    sized has chunk_pos and length; stats has the norm too, which only TF-IDF reads.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
+    sized: DataFrame
     stats: DataFrame
     n: int
     average: float
@@ -102,7 +106,7 @@ def build(chunks: DataFrame, max_terms: int | None = None, version: int = 1, kee
     row = sized.agg(F.count("*"), F.sum("length")).first()
     n = row[0]
     stats = sized.join(norms(postings, terms, n), "chunk_pos", "left").select("chunk_pos", "length", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm"))
-    return Index(chunks, postings, terms, stats, n, (row[1] or 0.0) / n if n else 0.0, version, limits, (chunks, postings, terms, sized) if keep else ())
+    return Index(chunks, postings, terms, sized, stats, n, (row[1] or 0.0) / n if n else 0.0, version, limits, (chunks, postings, terms, sized) if keep else ())
 
 
 def stats_row(index: Index) -> DataFrame:

@@ -74,7 +74,8 @@ def score(queries: DataFrame, index: Index, limits: SearchLimits = SearchLimits(
     hits = index.postings.join(_bounded(terms.select("query_id", "term", "weight", "idf", "term_rank")), "term")
     if prefix:
         hits = hits.join(index.chunks.filter(F.startswith(F.col("source"), F.lit(prefix))).select("chunk_pos"), "chunk_pos", "left_semi")
-    hits = hits.join(index.stats, "chunk_pos")
+    # Norms take two shuffles of all postings: BM25 goes without.
+    hits = hits.join(index.stats if algorithm == "tfidf" else index.sized.withColumn("norm", F.lit(1.0)), "chunk_pos")
     if algorithm == "bm25":
         gain = part * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (index.average or 1.0))))
     else:
