@@ -44,8 +44,9 @@ class Index:
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """chunk_pos, term, tf: occurrences in the content, and in section and source with their weights.
 
-    Units are counted before they are tokenized, and counts are combined
-    before the only shuffle.
+    Chunks are dealt once, whole, by chunk_pos: that serves both aggregations,
+    and a table of few files is tokenized by as many tasks as a large one.
+    Units are counted before they are tokenized.
     """
     section = F.array_join(F.transform("section_path", lambda s: F.coalesce(s, F.lit(""))), " ")
     parts = F.array(
@@ -53,7 +54,8 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
         F.struct(F.lit(SECTION_WEIGHT).alias("w"), section.alias("t")),
         F.struct(F.lit(SOURCE_WEIGHT).alias("w"), F.replace(F.col("source"), F.lit("/"), F.lit(" ")).alias("t")),
     )
-    units = chunks.select("chunk_pos", F.explode(parts).alias("p")).select("chunk_pos", "p.w", F.explode(T.units(F.col("p.t"))).alias("unit"))
+    dealt = chunks.select("chunk_pos", "content", "section_path", "source").repartition("chunk_pos")
+    units = dealt.select("chunk_pos", F.explode(parts).alias("p")).select("chunk_pos", "p.w", F.explode(T.units(F.col("p.t"))).alias("unit"))
     counted = units.groupBy("chunk_pos", "unit").agg(F.sum("w").alias("w"))
     return counted.select("chunk_pos", "w", F.explode(T.unit_terms(F.col("unit"))).alias("term")).groupBy("chunk_pos", "term").agg(F.sum("w").alias("tf"))
 
