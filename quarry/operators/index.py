@@ -41,11 +41,11 @@ class Index:
         return self.n > 0
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """chunk_pos, term, tf: occurrences in the content, and in section and source with their weights.
+def weighted_terms(chunks: DataFrame, key: str = "chunk_pos") -> DataFrame:
+    """{key}, w, term: the weights of a chunk's terms, a row for each different unit that has the term.
 
-    Chunks are dealt once, whole, by chunk_pos: that serves both aggregations,
-    and a table of few files is tokenized by as many tasks as a large one.
+    Chunks are dealt once, whole, by the key: that serves all aggregations by
+    it, and a table of few files is tokenized by as many tasks as a large one.
     Units are counted before they are tokenized.
     """
     section = F.array_join(F.transform("section_path", lambda s: F.coalesce(s, F.lit(""))), " ")
@@ -54,10 +54,15 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
         F.struct(F.lit(SECTION_WEIGHT).alias("w"), section.alias("t")),
         F.struct(F.lit(SOURCE_WEIGHT).alias("w"), F.replace(F.col("source"), F.lit("/"), F.lit(" ")).alias("t")),
     )
-    dealt = chunks.select("chunk_pos", "content", "section_path", "source").repartition("chunk_pos")
-    units = dealt.select("chunk_pos", F.explode(parts).alias("p")).select("chunk_pos", "p.w", F.explode(T.units(F.col("p.t"))).alias("unit"))
-    counted = units.groupBy("chunk_pos", "unit").agg(F.sum("w").alias("w"))
-    return counted.select("chunk_pos", "w", F.explode(T.unit_terms(F.col("unit"))).alias("term")).groupBy("chunk_pos", "term").agg(F.sum("w").alias("tf"))
+    dealt = chunks.select(key, "content", "section_path", "source").repartition(key)
+    units = dealt.select(key, F.explode(parts).alias("p")).select(key, "p.w", F.explode(T.units(F.col("p.t"))).alias("unit"))
+    counted = units.groupBy(key, "unit").agg(F.sum("w").alias("w"))
+    return counted.select(key, "w", F.explode(T.unit_terms(F.col("unit"))).alias("term"))
+
+
+def term_frequencies(chunks: DataFrame) -> DataFrame:
+    """chunk_pos, term, tf: occurrences in the content, and in section and source with their weights."""
+    return weighted_terms(chunks).groupBy("chunk_pos", "term").agg(F.sum("w").alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
