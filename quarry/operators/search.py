@@ -80,9 +80,8 @@ def score(queries: DataFrame, index: Index, limits: SearchLimits = SearchLimits(
         gain = part * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (index.average or 1.0))))
     else:
         gain = part * F.col("tf") * F.col("idf")
-    # Gains are added in the order of the terms, so that ties don't depend on how rows were dealt; there are as many as a query has terms.
-    gains = F.array_sort(F.collect_list(F.struct("term_rank", gain.alias("gain"))))
-    raw = F.aggregate(gains, F.lit(0.0), lambda total, g: total + g["gain"])
+    # Gains are added in the order of their sizes: equal gains have equal sums, however rows were dealt; there are as many as a query has terms.
+    raw = F.aggregate(F.array_sort(F.collect_list(gain)), F.lit(0.0), lambda total, g: total + g)
     by_chunk = hits.groupBy("query_id", "chunk_pos").agg(raw.alias("raw"), F.min(F.struct("term_rank", "chunk_pos")).alias("first"), F.first("norm").alias("norm"))
     admitted = by_chunk
     if limits.max_candidates is not None:

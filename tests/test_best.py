@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import best, search
+from quarry.operators import best, search, store
 from quarry.plans import registry
 
 
@@ -36,3 +37,28 @@ def test_copies_ahead_of_the_rest_are_passed(spark, tmp_path):
     want = rows(search.select_results(registry._scored(spark, tmp_path)), "id", "score")
     assert rows(registry.q_select_results(spark, tmp_path), "id", "score") == want and len(want) == 5
     assert [tuple(r) for r in registry.q_response_counts(spark, tmp_path).select("query_id", "returned").collect()] == [("1", 5)]
+
+
+def test_no_row_for_every_match(spark, tmp_path):
+    """What is kept of 250 matching chunks are those that can be among the best."""
+    docs = [(i, "zeta" + "".join(f" pad{i}x{j}" for j in range(i)), "src") for i in range(250)] + [(i, f"other{i}", "src") for i in range(250, 700)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zeta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.source for r in registry.q_bm25_topk(spark, tmp_path).orderBy("rank").collect()] == [f"docs/src/{i:08}.txt" for i in range(5)]
+    path = next(p for _, p in reversed(store._WRITTEN) if "/pairs-" in p)
+    assert 5 <= spark.read.parquet(path).count() < 100
+
+
+def test_equal_gains_have_equal_sums():
+    """Whichever terms they are of, and however few gains are added at once."""
+    tf = [np.array(x, float) for x in ((1, 2, 3, 5), (5, 3, 2, 1), (2, 5, 1, 3))]
+    scorer = best._Scorer(np.arange(4), np.zeros(4, np.int64), np.full(4, 0.7), np.ones(1), 4, 1.0, 5)
+    arrays = (np.tile(np.arange(4), 3), np.concatenate(tf), np.full(3, 4), np.full(3, 11.0))
+    (_, row, base), = scorer.pairs(*arrays)
+    assert row.tolist() == [0, 1, 2] and len(set(base)) == 1
+    whole, best.GAINS = best.GAINS, 1
+    try:
+        parts = list(scorer.pairs(*arrays))
+    finally:
+        best.GAINS = whole
+    assert [(r.tolist(), b.tolist()) for _, r, b in parts] == [([i], [base[0]]) for i in range(3)]
